@@ -56,7 +56,7 @@ def _block(key: Column, n_blocks: int) -> Column:
 
 def _bit(key: Column, word: int) -> Column:
     """The bit that a key sets in the given word of its block."""
-    return F.shiftleft(F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit(17), key), 6 * word).bitwiseAND(63).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit(17), key), 6 * word).bitwiseAND(63).cast("int"))
 
 
 def bloom_filter(keys: DataFrame, n_keys: int, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:

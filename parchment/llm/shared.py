@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: `[^\x20\x09-\x0D]` and `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` as byte tables; bytes of longer UTF-8 sequences are word bytes in both.
 PLAIN = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
@@ -112,3 +113,20 @@ def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def text_columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(x)) for x in names]
+
+
+def merged_spans(of: Column, touch: int = 1) -> Column:
+    """An array of structs first, last, start, end: sorted, with those that overlap or follow each other within touch words made one."""
+    join = lambda a, b: F.struct(a["first"].alias("first"), F.greatest(a["last"], b["last"]).alias("last"), a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"))
+    empty = F.expr("cast(array() as array<struct<first:int,last:int,start:int,end:int>>)")
+    return F.aggregate(
+        F.array_sort(of), empty,
+        lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["last"] + touch >= s["first"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(join(F.element_at(out, -1), s)))).otherwise(F.concat(out, F.array(s))),
+    )
+
+
+def cut_spans(text: Column, of: Column, mark: str = "") -> Column:
+    """text with the code points of the spans (start, end; sorted, apart from each other) replaced by mark."""
+    since = lambda i: F.when(i == 0, 0).otherwise(F.get(of, i - 1)["end"])
+    kept = F.transform(of, lambda s, i: F.concat(F.substring(text, since(i) + 1, s["start"] - since(i)), F.lit(mark)))
+    return F.concat(F.array_join(kept, ""), F.substring(text, F.coalesce(F.element_at(of, -1)["end"], F.lit(0)) + 1, F.length(text)))

@@ -13,14 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import MAX_BLOCKS, bloom_filter, with_maybe
 from .shared import stored
 
 #: Verdict, host, path start.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Blocks of 64 bytes in the broadcast filter: at most 8 MB, whatever the length of the list.
-MAX_BLOCKS = 1 << 17
-#: Filter bits for each listed url, as long as MAX_BLOCKS allows.
-BITS_PER_KEY = 16
 
 
 def host_of(url: Column) -> Column:
@@ -50,24 +47,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
-
-
-def _bit(key: Column, word: int) -> Column:
-    """The bit that a key sets in the given word of its block."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit(17), key), 6 * word).bitwiseAND(63).cast("int"))
-
-
-def bloom_filter(keys: DataFrame, n_keys: int, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
-    """keys: key. Returns the filled blocks (block, w0 ... w7), each word 64 bits, and the number of blocks."""
-    n_blocks = 1
-    while n_blocks < max_blocks and n_blocks * 512 < n_keys * BITS_PER_KEY:
-        n_blocks *= 2
-    key = F.col("key")
-    return keys.groupBy(_block(key, n_blocks).alias("block")).agg(*(F.bit_or(_bit(key, k)).alias(f"w{k}") for k in range(8))), n_blocks
-
-
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """pages: page_id, url. listed: url, the urls to block where no rule fits.
 
@@ -77,11 +56,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, max_blocks: int
     blooms, n_blocks = bloom_filter(keys, keys.count(), max_blocks)
     url = F.col("url")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical_url"))
-    probe = seen.withColumn("block", _block(F.col("canonical_url"), n_blocks)).join(F.broadcast(blooms), "block", "left")
-    hit = F.lit(True)
-    for k in range(8):
-        hit = hit & (F.col(f"w{k}").bitwiseAND(_bit(F.col("canonical_url"), k)) != 0)
-    probe = probe.withColumn("maybe_listed", F.coalesce(hit & F.col("canonical_url").isNotNull(), F.lit(False)))
+    probe = with_maybe(seen, F.col("canonical_url"), blooms, n_blocks, "maybe_listed")
     # the space cannot stand first in a canonical url that a list holds and a filter passes: such keys find no partner
     probe = probe.withColumn("key", F.when(F.col("maybe_listed"), F.col("canonical_url")).otherwise(F.concat(F.lit(" not listed "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("canonical_url", F.lit("")))))
     joined = probe.join(keys.withColumn("listed", F.lit(True)), "key", "left")

@@ -184,27 +184,44 @@ def _repeated_lines(text: bytes) -> int:
     return n
 
 
+def _judged(texts: pa.Array, model: Model, keep_at: float) -> list[np.ndarray]:
+    """The columns of SCHEMA but doc_id for some texts, of which there is one at least."""
+    parts = []
+    for raw, at, starts, ends, word in _views(texts):
+        first = np.searchsorted(starts, at)
+        n_words, repeated = np.diff(first), _repeated(word, first)
+        whole = raw.tobytes()
+        failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n_words)
+        p = model.probability(model.margins(_grams(raw, at, starts, ends, word)))
+        lines = np.array([_repeated_lines(whole[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
+        parts.append((n_words, _sums(PLAIN[raw] & ((raw & 0xC0) != 0x80), at), _sums(_SYMBOLS[raw], at), lines, repeated, failed, ~failed & (p >= keep_at), p))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def score(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     """One row of counts and verdicts for each row of docs (doc_id, text); SCHEMA has the columns."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = text_columns(batch, "doc_id", "text")
-            parts = []
-            for raw, at, starts, ends, word in _views(texts):
-                first = np.searchsorted(starts, at)
-                n_words, repeated = np.diff(first), _repeated(word, first)
-                whole = raw.tobytes()
-                failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n_words)
-                p = model.probability(model.margins(_grams(raw, at, starts, ends, word)))
-                lines = np.array([_repeated_lines(whole[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
-                parts.append((n_words, _sums(PLAIN[raw] & ((raw & 0xC0) != 0x80), at), _sums(_SYMBOLS[raw], at), lines, repeated, failed, ~failed & (p >= keep_at), p))
-            if parts:
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            if len(texts):
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _judged(texts, model, keep_at))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(scored, SCHEMA)
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
+    """Trains on labels; docs, with all their columns, without the rows that are not kept."""
+    model = train(docs, labels, max_rows)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_judged(text_columns(batch, "text")[0], model, keep_at)[6]))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
     """Trains on labels, then judges every row of docs."""
     return score(docs, train(docs, labels, max_rows), keep_at)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digest
+from .decontaminate import decontamination_report
 from .licenses import license_scan
+from .pieces import pieces_report
 from .quality import quality
+from .repeats import repeats_report
 from .secrets import secret_digest
+from .simhash import near_components
+from .tokens import token_report
 from .urls import judge_urls
 
 
@@ -20,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 #: The conversation that is added to the table; its texts hold control strings of the template.
 SAMPLE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -29,6 +39,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(rows.unionByName(spark.sql("select * from values " + ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in SAMPLE) + " as t(conv_id, turn, role, text)")))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +55,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: Pages with this in their HTML are junk; their canonical urls make up the list of op10.
 JUNK = "###"
 
@@ -46,7 +72,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, pages.filter(F.contains("html", F.lit(JUNK))).select("url")).drop("maybe_listed")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_chat, op6_licenses, op7_secrets, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_tokens, op5_decontamination, op6_licenses, op7_secrets, op8_repeats, op9_pieces, op10_urls)}
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPE = r"regexp_replace(coalesce({}, ''), '([<\[])(\\*)(/?s>|/?ROLE\]|TURN\]|/?INST\])', '\1\\\2\3', 'g')"
@@ -54,7 +80,20 @@ _HOST = f"""case when url is null or strpos(url, '://') = 0 then '' else {_ASCII
 _PATH = "case when url is null or strpos(url, '://') = 0 then '' else regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) end"
 _QUERY = r"regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*\?([^#]*)', 1)"
 
+_WORDS = f"list_filter(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
 SQL = {
+    "op5_decontamination": f"""
+with i as (select item_id, {_WORDS} w from benchmark),
+g as (select distinct item_id, list_slice(w, k, k + 9) g from i, unnest(range(1, greatest(2, len(w) - 8))) u(k) where len(w) > 0),
+d as (select doc_id, row_number() over () as n, {_WORDS} w from documents),
+s as (select distinct len(g) size from g),
+p as (select n, k, list_slice(w, k, k + size - 1) g from d, s, unnest(range(1, greatest(1, len(w) - size + 2))) u(k)),
+h as (select distinct p.n, p.k, len(g.g) size, g.item_id from p join g on p.g = g.g),
+c as (select n, count(distinct k + j) n_hit from h, unnest(range(0, size)) u(j) group by n),
+t as (select n, count(*) n_items, string_agg(x, ',' order by x) x from (select distinct n, item_id::varchar x from h where item_id is not null) group by n)
+select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(x, '')) items_sha256, n_hit is not null contaminated
+from d left join c using (n) left join t using (n)""",
     "op3_chat": f"""
 with t as (
   select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, text_columns
+from .shared import cut_spans, merged_spans, new_path, text_columns
 
 #: Fixed values, the base rules: kind, words of which a text has one in lower case, pattern, least length of its last group.
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -117,15 +117,9 @@ def redact(docs: DataFrame, ledger: str | None = None, rules=RULES, mark: str =
     at = ledger or new_path(spark, "ledger")
     secret_spans(docs, at, rules)
     found = read_ledger(spark, at).filter((F.col("rules") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    merged = F.aggregate(
-        "_spans",
-        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["end"]).alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("a"), s["end"].alias("b"))))),
-    )
-    text = F.col("text")
-    piece = lambda s, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.get("_merged", i - 1)["b"] + 1), s["a"] - F.when(i == 0, 0).otherwise(F.get("_merged", i - 1)["b"])), F.lit(mark))
-    clean = F.concat(F.array_join(F.transform("_merged", piece), ""), F.substring(text, F.element_at("_merged", -1)["b"] + 1, F.length(text)))
-    out = docs.withColumn("_blob", blob_of(text)).join(found, "_blob", "left").withColumn("_merged", merged).withColumn("text", F.when(F.size("_merged") > 0, clean).otherwise(text))
+    bounds = F.transform("_spans", lambda s: F.struct(s["start"].alias("first"), (s["end"] - 1).alias("last"), s["start"].alias("start"), s["end"].alias("end")))
+    joined = docs.withColumn("_blob", blob_of(F.col("text"))).join(found, "_blob", "left").withColumn("_merged", merged_spans(bounds, touch=0))
+    out = joined.withColumn("text", F.when(F.size("_merged") > 0, cut_spans(F.col("text"), F.col("_merged"), mark)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_merged") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -151,10 +151,10 @@ def multiset_difference(a: Column, b: Column) -> Column:
 
 
 def without_terms(text: Column, terms: tuple[str, ...] = PRESERVED_TERMS) -> Column:
-    """Each term, where it stands alone, as a space; one pass per term, in order."""
-    for term in terms:
-        text = F.regexp_replace(text, rf"(?i)(?<![A-Za-z])\Q{term}\E(?![A-Za-z])", " ")
-    return text
+    """Each term, where it stands alone, as a space; of two that begin at one place the earlier in the list."""
+    if not terms:
+        return text
+    return F.regexp_replace(text, r"(?i)(?<![A-Za-z])(?:" + "|".join(rf"\Q{t}\E" for t in terms) + r")(?![A-Za-z])", " ")
 
 
 def prose(text: Column, terms: tuple[str, ...] = PRESERVED_TERMS) -> Column:
@@ -172,19 +172,16 @@ def prose(text: Column, terms: tuple[str, ...] = PRESERVED_TERMS) -> Column:
 _EN = r"[A-Za-z][A-Za-z'-]{2,}"
 
 
-def english_prose(text: Column, terms: tuple[str, ...] = PRESERVED_TERMS) -> Column:
-    """A stretch of English prose: a run of twelve words or more, or else the words of a long mostly English segment; empty if none."""
-    rest = prose(text, terms)
+def english_words(rest: Column) -> Column:
+    """Of what prose() leaves: a run of twelve English words or more, or else the words of a long mostly English segment; empty if none."""
     run = F.regexp_extract(rest, rf"(\b{_EN}(?:[ \t\r\n,;:()\-]+{_EN}){{11}}(?:[ \t\r\n,;:()\-]++{_EN}){{0,24}}\b)", 1)
     words = lambda s: F.regexp_extract_all(s, F.lit(rf"\b({_EN})\b"), F.lit(1))
-    heavy = F.filter(F.split(rest, f"[{CJK}]+"), lambda s: (F.size(words(s)) >= 16) & (F.length(F.trim(s)) >= 120))
-    return F.when(run != "", run).when(F.size(heavy) > 0, F.array_join(F.slice(words(F.get(heavy, F.lit(0))), 1, 24), " ")).otherwise("")
+    heavy = F.filter(F.split(rest, f"[{CJK}]+"), lambda s: (F.length(F.trim(s)) >= 120) & (F.size(words(s)) >= 16))
+    return F.coalesce(F.nullif(run, F.lit("")), F.array_join(F.slice(words(F.get(heavy, F.lit(0))), 1, 24), " "), F.lit(""))
 
 
-def untranslated(output: Column, source: Column, terms: tuple[str, ...] = PRESERVED_TERMS) -> Column:
-    """English prose that an answer kept, 160 characters of it, if the source had English prose at all."""
-    found = english_prose(output, terms)
-    return F.when((found != "") & (english_prose(source, terms) != ""), F.substring(found, 1, 160)).otherwise("")
+def english_prose(text: Column, terms: tuple[str, ...] = PRESERVED_TERMS) -> Column:
+    return english_words(prose(text, terms))
 
 
 def percent_escaped(text: Column) -> Column:

@@ -215,6 +215,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
 def with_spans_cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the removal spans cut from their texts, for those who would rather keep the rest of a document."""
-    found = contaminated_spans(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans").dropDuplicates(["_id", "_tag"])
+    found = contaminated_spans(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_tag"])
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_tag"]), "left")
-    return joined.withColumn("text", F.when(F.size("spans") > 0, cut_spans(F.col("text"), F.col("spans"))).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.size("_spans") > 0, cut_spans(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))).select(*docs.columns)

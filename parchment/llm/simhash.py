@@ -140,7 +140,7 @@ for _ in range(3):
 def _split(level: int) -> Column:
     """The masks of the next level for the column mask."""
     array = lambda masks: F.array(*(F.lit(_signed(m)).cast("long") for m in masks))
-    entries = [x for m in LEVELS[level] for x in (F.lit(_signed(m)).cast("long"), array(m | p for p in _parts(m, 3)))]
+    entries = [x for m in dict.fromkeys(LEVELS[level]) for x in (F.lit(_signed(m)).cast("long"), array(m | p for p in _parts(m, 3)))]
     return F.element_at(F.create_map(*entries), F.col("mask"))
 
 
@@ -181,7 +181,7 @@ def near_links(nodes: DataFrame, shard_size: int = SHARD) -> DataFrame:
         large = rows.filter(F.col("n") > shard_size)
         if last or large.isEmpty():
             return edges
-        rows = large.select("fp", F.explode(_split(level)).alias("mask"))
+        rows = large.select("fp", F.explode(_split(level)).alias("mask")).distinct()  # two masks may lead to one
 
 
 def _classes(fps: DataFrame, shard_size: int = SHARD) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A text is cut before each space that a printing character follows. The tokenizer's own pattern never matches across
 such a place, so the ids of the pieces, one after the other, are the ids of the text; every piece is encoded by the
-tokenizers library once per worker, as long as it stays among the MEMO pieces that a worker keeps. Special tokens' names in texts are
+tokenizers library once per worker, until the worker keeps MEMO pieces and begins anew; a piece that is one word and
+closing marks goes straight to the library's merges. A tokenizer of another kind encodes whole texts. Special tokens' names in texts are
 ordinary text, unless the caller says otherwise.
 
 A file set is a Parquet folder of blocks in ascending doc_id, plus one table of symbol frequencies that all blocks
@@ -15,9 +16,11 @@ their text's hash; a null doc_id comes first. Extra columns are not read. An emp
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,58 +35,78 @@ from .shared import new_path, stored, text_columns
 #: Ids in a block, about; a document of more ids is a block of its own.
 BLOCK = 1 << 18
 #: Pieces whose ids a worker keeps.
-MEMO = 1 << 19
+MEMO = 1 << 20
 _CUT = re.compile(rb" (?=[\x21-\x7e\xc3-\xdf\xe4-\xf4])")
 _ODD = re.compile(rb" (?![\x21-\x7e\xc3-\xdf\xe4-\xf4])")
+#: A piece of one word and closing marks, of which the tokenizer's pattern makes two matches; letters of ASCII and Latin-1.
+_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?)]*)")
 BLOCKS = (
     "part int, first_doc long, start long, n_ids long, doc_ids array<long>, sizes array<int>, states binary, words binary, "
     "marks array<struct<step:int,word:int,states:binary>>, crc long"
 )
 
 
-class Encoder:
-    """Ids of texts, by one tokenizer file."""
+class Encoder(dict):
+    """Ids of texts, by one tokenizer file. As a dict: the ids of a space and a piece, as bytes of kind, learnt when first asked for."""
 
     def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        #: The ids of a space and the piece, as bytes of kind; a text's first piece has no space before it and is not kept.
-        self.memo: dict[bytes, bytes] = {}
-        self.line = self._plain(["\n"])[0]
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encodes pieces, many in a row: a line end before a space is a match of its own, so its id parts them."""
-        odd = [p for p in pieces if b"\n" in p or len(self.line) != self.kind.itemsize]
-        self.memo.update(zip(odd, self._plain([" " + p.decode("utf-8", "replace") for p in odd]), strict=True))
-        plain = [p for p in pieces if b"\n" not in p] if len(odd) < len(pieces) else []
-        for i in range(0, len(plain), 100):
-            part = plain[i : i + 100]
-            ids = np.frombuffer(self._plain(["".join(f" {p.decode('utf-8', 'replace')}\n" for p in part) + " "])[0], self.kind)
-            ends = np.flatnonzero(ids == np.frombuffer(self.line, self.kind)[0]).tolist()
-            data, width = ids.tobytes(), self.kind.itemsize
-            if len(ends) != len(part):
-                self.memo.update(zip(part, self._plain([" " + p.decode("utf-8", "replace") for p in part]), strict=True))
-            else:
-                for p, a, b in zip(part, [0, *(e + 1 for e in ends[:-1])], ends, strict=True):
-                    self.memo[p] = data[a * width : b * width]
+        self.code, self.merges = "H" if self.kind.itemsize == 2 else "I", self.tokenizer.model.tokenize
+        self.bytewise = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        # the byte-level alphabet: printing characters of Latin-1 stand for themselves, the others for those from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.marks: dict[bytes, bytes] = {}
+        self.line = self._plain("\n")
+
+    def _plain(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _match(self, match: bytes) -> bytes:
+        """The ids of what the tokenizer's pattern takes as one match, straight from its merges."""
+        return array(self.code, [t.id for t in self.merges(match.decode("latin-1").translate(self.alphabet))]).tobytes()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if b"\n" in piece:
+            lines = piece.split(b"\n")
+            if self.bytewise and all(_WORD.fullmatch(x) for x in lines):
+                # line ends between words are matches of their own, and the words behind them have no space before them
+                return self[lines[0]] + b"".join([self.line + self.bare(x) for x in lines[1:]])
+        m = _WORD.fullmatch(piece) if self.bytewise else None
+        ids = self._match(b" " + m[1]) + self.mark(m[2]) if m else self._plain(" " + piece.decode("utf-8", "replace"))
+        if len(self) >= MEMO:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def bare(self, piece: bytes) -> bytes:
+        """The ids of a word that no space precedes; kept as that word behind a zero byte, which no piece of the kind begins with."""
+        ids = self.get(b"\0" + piece)
+        if ids is None:
+            m = _WORD.fullmatch(piece)
+            ids = self[b"\0" + piece] = self._match(m[1]) + self.mark(m[2])
+        return ids
+
+    def mark(self, marks: bytes) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self._match(marks) if marks else b""
+        return self.marks[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes of kind."""
-        cut = [_CUT.split(t) if _ODD.search(t) else t.split(b" ") for t in texts]
-        seen = {p for pieces in cut for p in pieces[1:]}
-        new = seen.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {p: self.memo[p] for p in seen if p in self.memo}
-        self._learn(list(new))
-        heads = self._plain([pieces[0].decode("utf-8", "replace") for pieces in cut])
-        of = self.memo.__getitem__
-        return [head + b"".join(map(of, pieces[1:])) for head, pieces in zip(heads, cut, strict=True)]
+        of, out = self.__getitem__, []
+        for t in texts:
+            pieces = _CUT.split(t) if _ODD.search(t) else t.split(b" ")
+            if self.bytewise and b"\0" not in t:
+                out.append(self._plain(pieces[0].decode("utf-8", "replace")) + b"".join(map(of, pieces[1:])))
+            else:
+                out.append(self._plain(t.decode("utf-8", "replace")))
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

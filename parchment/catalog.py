@@ -184,17 +184,14 @@ def main_files(spark, sf_dir):
 
 
 @query("""
-with l as (select row_number() over (order by conv_id, turn) pos, trim(case when turn % 2 = 0 then 'https://arxiv.org/abs/24' || lpad((conv_id % 12 + 1)::varchar, 2, '0') || '.00' || lpad((conv_id % 60)::varchar, 3, '0') else substr(text, 1, 12) end, ' ') line from conversations),
+with l as (select conv_id * 1000 + turn pos, trim(case when turn % 2 = 0 then 'https://arxiv.org/abs/24' || lpad((conv_id % 12 + 1)::varchar, 2, '0') || '.00' || lpad((conv_id % 60)::varchar, 3, '0') else substr(text, 1, 12) end, ' ') line from conversations),
 k as (select *, coalesce(nullif(regexp_extract(line, '[0-9]{4}\\.[0-9]{5}'), ''), 'x' || line) k from l where line <> '')
 select pos, line from (select *, row_number() over (partition by k order by pos desc) n from k) where n = 1 order by pos desc limit 200""")
 def history(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = F.col("conv_id")
     url = F.concat(F.lit("https://arxiv.org/abs/24"), F.lpad((c % 12 + 1).cast("string"), 2, "0"), F.lit(".00"), F.lpad((c % 60).cast("string"), 3, "0"))
     line = F.when(F.col("turn") % 2 == 0, url).otherwise(F.substring("text", 1, 12))
-    # a history is one file of one user, so its positions are of one order
-    lines = table(spark, sf_dir, "conversations").select(F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long").alias("pos"), line.alias("line"))
+    lines = table(spark, sf_dir, "conversations").select((c * 1000 + F.col("turn")).alias("pos"), line.alias("line"))
     return distinct.history(lines)
 
 
@@ -468,7 +465,7 @@ def work_items(spark, sf_dir):
 
 @query()
 def guides(spark, sf_dir):
-    files = tree(spark, sf_dir).select("paper_id", F.concat("path", F.lit("/../"), F.col("doc_id").cast("string"), F.lit(".tex")).alias("path"), "text")
+    files = tree(spark, sf_dir).select("paper_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), "path").alias("path"), "text")
     return guides_.guides(files).select("paper_id", F.length("guide").cast("long").alias("n_chars"), "guide")
 
 

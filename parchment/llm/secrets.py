@@ -16,10 +16,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import read_or_empty
 from .shared import cut_spans, merged_spans, new_path, text_columns
 
 #: Fixed values, the base rules: kind, words of which a text has one in lower case, pattern, least length of its last group.
@@ -73,12 +73,7 @@ def blob_of(text: Column) -> Column:
 
 def read_ledger(spark: SparkSession, at: str) -> DataFrame:
     """The ledger's rows, none where there is no ledger yet. A blob that two runs scanned at once counts once."""
-    try:
-        return spark.read.schema(LEDGER).parquet(at)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], LEDGER)
+    return read_or_empty(spark, at, LEDGER)
 
 
 def secret_spans(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:

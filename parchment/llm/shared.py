@@ -1,17 +1,17 @@
-"""What the operators of this subpackage share: scratch tables, Arrow text columns, word spans and hashes."""
+"""What the operators of this subpackage share: Arrow text columns, word spans, hashes and cuts; scratch tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import new_path, stored  # noqa: F401
+
 #: `[^\x20\x09-\x0D]` and `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` as byte tables; bytes of longer UTF-8 sequences are word bytes in both.
 PLAIN = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 ALNUM = np.array([b >= 0x80 or chr(b).isalnum() and not chr(b).isupper() for b in range(256)])
@@ -21,29 +21,6 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.
 CHUNK = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not own.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-parchment-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = own.get()
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, so that its lineage ends and a lost executor costs no recomputation."""
-    at = new_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and len + 1 offsets into them; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string()) if len(column) else pa.array([], pa.large_string())

@@ -14,7 +14,7 @@ import numpy as np
 #: Bits of the frequencies' sum; lower bound of a state; bits of a stream word.
 PRECISION, LOW, WORD = 20, np.uint64(1 << 31), np.uint64(32)
 #: Lanes of a block of at least so many symbols; steps between checkpoints.
-LANES, EVERY = 1024, 64
+LANES, EVERY = 2048, 64
 _MASK = np.uint64((1 << PRECISION) - 1)
 
 

@@ -2,8 +2,8 @@
 
 A text is cut before each space that a printing character follows. The tokenizer's own pattern never matches across
 such a place, so the ids of the pieces, one after the other, are the ids of the text; every piece is encoded by the
-tokenizers library once per worker, until the worker keeps MEMO pieces and begins anew; a piece that is one word and
-closing marks goes straight to the library's merges. A tokenizer of another kind encodes whole texts. Special tokens' names in texts are
+tokenizers library once per worker, until the worker keeps MEMO pieces and begins anew; runs of letters, digits
+or marks, which the tokenizer's pattern takes as one match each, go straight to the library's merges. A tokenizer of another kind encodes whole texts. Special tokens' names in texts are
 ordinary text, unless the caller says otherwise.
 
 A file set is a Parquet folder of blocks in ascending doc_id, plus one table of symbol frequencies that all blocks
@@ -38,8 +38,9 @@ BLOCK = 1 << 18
 MEMO = 1 << 20
 _CUT = re.compile(rb" (?=[\x21-\x7e\xc3-\xdf\xe4-\xf4])")
 _ODD = re.compile(rb" (?![\x21-\x7e\xc3-\xdf\xe4-\xf4])")
-#: A piece of one word and closing marks, of which the tokenizer's pattern makes two matches; letters of ASCII and Latin-1.
-_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?)]*)")
+#: Pieces of letters (ASCII and Latin-1), digits and ASCII marks but the apostrophe; the tokenizer's pattern takes each run of one kind as a match.
+_SIMPLE = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_RUNS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
 BLOCKS = (
     "part int, first_doc long, start long, n_ids long, doc_ids array<long>, sizes array<int>, states binary, words binary, "
     "marks array<struct<step:int,word:int,states:binary>>, crc long"
@@ -57,11 +58,11 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = not special
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code, self.merges = "H" if self.kind.itemsize == 2 else "I", self.tokenizer.model.tokenize
-        self.bytewise = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.bytewise = not special and json.loads(self.tokenizer.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         # the byte-level alphabet: printing characters of Latin-1 stand for themselves, the others for those from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.marks: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
         self.line = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
@@ -74,36 +75,44 @@ class Encoder(dict):
     def __missing__(self, piece: bytes) -> bytes:
         if b"\n" in piece:
             lines = piece.split(b"\n")
-            if self.bytewise and all(_WORD.fullmatch(x) for x in lines):
+            if self.bytewise and all(map(_SIMPLE.fullmatch, lines)):
                 # line ends between words are matches of their own, and the words behind them have no space before them
                 return self[lines[0]] + b"".join([self.line + self.bare(x) for x in lines[1:]])
-        m = _WORD.fullmatch(piece) if self.bytewise else None
-        ids = self._match(b" " + m[1]) + self.mark(m[2]) if m else self._plain(" " + piece.decode("utf-8", "replace"))
+        if self.bytewise and piece.isalpha():  # of bytes: ASCII letters
+            ids = self._match(b" " + piece)
+        elif self.bytewise and _SIMPLE.fullmatch(piece):
+            first, *rest = _RUNS.findall(piece)
+            ids = self[first] + b"".join(map(self.run, rest)) if rest else self._match(b" " + first)
+        else:
+            ids = self._plain(" " + piece.decode("utf-8", "replace"))
         if len(self) >= MEMO:
             self.clear()
         self[piece] = ids
         return ids
 
-    def bare(self, piece: bytes) -> bytes:
-        """The ids of a word that no space precedes; kept as that word behind a zero byte, which no piece of the kind begins with."""
-        ids = self.get(b"\0" + piece)
+    def run(self, run: bytes) -> bytes:
+        """The ids of a run that no space precedes."""
+        ids = self.runs.get(run)
         if ids is None:
-            m = _WORD.fullmatch(piece)
-            ids = self[b"\0" + piece] = self._match(m[1]) + self.mark(m[2])
+            if len(self.runs) >= MEMO // 8:
+                self.runs.clear()
+            ids = self.runs[run] = self._match(run)
         return ids
 
-    def mark(self, marks: bytes) -> bytes:
-        if marks not in self.marks:
-            self.marks[marks] = self._match(marks) if marks else b""
-        return self.marks[marks]
+    def bare(self, piece: bytes) -> bytes:
+        """The ids of a simple piece that no space precedes."""
+        return b"".join(map(self.run, _RUNS.findall(piece)))
+
+    def head(self, piece: bytes) -> bytes:
+        return self.bare(piece) if _SIMPLE.fullmatch(piece) else self._plain(piece.decode("utf-8", "replace"))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes of kind."""
         of, out = self.__getitem__, []
         for t in texts:
             pieces = _CUT.split(t) if _ODD.search(t) else t.split(b" ")
-            if self.bytewise and b"\0" not in t:
-                out.append(self._plain(pieces[0].decode("utf-8", "replace")) + b"".join(map(of, pieces[1:])))
+            if self.bytewise:
+                out.append(self.head(pieces[0]) + b"".join(map(of, pieces[1:])))
             else:
                 out.append(self._plain(t.decode("utf-8", "replace")))
         return out
@@ -130,7 +139,7 @@ def _ids(path: str, end: int, special: bool):
 
 def _unpacked(data: bytes) -> np.ndarray:
     """The ids of a row of the scratch table: a byte that tells their width, then the ids."""
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint32)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +148,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for x in batch.column(0):
-            n = np.bincount(_unpacked(x.as_py()))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
+        # counted some rows at a time: a count per row would fill a table of the vocabulary's size for each
+        for k in range(0, batch.num_rows, 1000):
+            rows = batch.column(0).slice(k, 1000).to_pylist()
+            n = np.bincount(np.concatenate([_unpacked(x) for x in rows]), minlength=len(total))
+            n[: len(total)] += total
+            total = n
     found = np.flatnonzero(total)
     part = pyspark.TaskContext.get().partitionId()
     yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array(found), pa.array(total[found])], names=["part", "id", "n"])
@@ -179,7 +187,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = 0, special: bool = Fal
         starts[part] = before
         before += n
     held = spark.sparkContext.broadcast((freq, starts))
-    rows.repartition("part").sortWithinPartitions("part", "no").select("part", "doc_id", "ids").mapInArrow(_blocks(held, block), BLOCKS).write.option("compression", "none").parquet(f"{at}/blocks")
+    rows.repartitionByRange("part").sortWithinPartitions("part", "no").select("part", "doc_id", "ids").mapInArrow(_blocks(held, block), BLOCKS).write.option("compression", "none").parquet(f"{at}/blocks")
     return FileSet(f"{at}/blocks", table_at)
 
 

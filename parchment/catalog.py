@@ -421,14 +421,15 @@ def archives_expanded(spark, sf_dir):
 
 
 @query(rf"""
-with p as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$|\$.*?\$|\\\[.*?\\\]|\\\(.*?\\\)', ' ', 'g'),
-  '\\(?:cite|citep|citet|citealp|ref|eqref|cref|Cref|autoref|label|url|href|includegraphics|input|include|bibliography)\*?(?:\[[^\]]*\])?(?:\{{[^{{}}]*\}}){{1,2}}', ' ', 'g'), '\\[A-Za-z]+\*?(?:\[[^\]]*\])?', ' ', 'g'), '[{{}}~^_\\]+', ' ', 'g') t from documents)
-select doc_id, regexp_matches(t, '(?:^|[^A-Za-z0-9_])[A-Za-z][A-Za-z''-]{{2,}}(?:[ \t\r\n,;:()-]+[A-Za-z][A-Za-z''-]{{2,}}){{11}}')
-  or (len(regexp_extract_all(t, '[A-Za-z][A-Za-z''-]{{2,}}')) >= 16 and length(trim(t, ' ')) >= 120 and lang = 'en') is_english from (select p.*, lang from p join documents using (doc_id)) where lang = 'en'""")
+with a as (select doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'e', 'g') t from documents),
+p as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)\$\$.*?\$\$|\$.*?\$|\\\[.*?\\\]|\\\(.*?\\\)', ' ', 'g'),
+  '\\(?:cite|citep|citet|citealp|ref|eqref|cref|Cref|autoref|label|url|href|includegraphics|input|include|bibliography)\*?(?:\[[^\]]*\])?(?:\{{[^{{}}]*\}}){{1,2}}', ' ', 'g'), '\\[A-Za-z]+\*?(?:\[[^\]]*\])?', ' ', 'g'), '[{{}}~^_\\]+', ' ', 'g') t from a)
+select doc_id, regexp_matches(t, '\b[A-Za-z][A-Za-z''-]{{2,}}(?:[ \t\r\n,;:()-]+[A-Za-z][A-Za-z''-]{{2,}}){{11}}\b')
+  or (len(regexp_extract_all(t, '\b[A-Za-z][A-Za-z''-]{{2,}}\b')) >= 16 and length(trim(t, ' ')) >= 120) is_english from p""")
 def english_prose(spark, sf_dir):
-    """Which English documents hold a stretch of English prose."""
-    rows = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return rows.select("doc_id", (text.english_prose(F.col("text"), ()) != "").alias("is_english"))
+    """Which documents hold a stretch of prose in ASCII letters; other letters are written as e, so that both engines agree on what a word is."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "e")
+    return table(spark, sf_dir, "documents").select("doc_id", (text.english_prose(plain, ()) != "").alias("is_english"))
 
 
 @query("""

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bits of the frequencies' sum; lower bound of a state; bits of a stream word.
-PRECISION, LOW, WORD = 20, np.uint64(1 << 31), np.uint64(32)
+PRECISION, LOW, WORD = 20, 1 << 31, 32
 #: Lanes of a block of at least so many symbols; steps between checkpoints.
 LANES, EVERY = 2048, 64
-_MASK = np.uint64((1 << PRECISION) - 1)
+_MASK = (1 << PRECISION) - 1
 
 
 def normalized(counts: np.ndarray) -> np.ndarray:
@@ -41,16 +41,17 @@ def normalized(counts: np.ndarray) -> np.ndarray:
 
 class Table:
     def __init__(self, freq: np.ndarray):
-        self.freq = freq.astype(np.uint64)
-        self.start = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)[:-1]
-        self._slot: np.ndarray | None = None
+        self.freq = freq.astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.int64)
+        self._slots: tuple[np.ndarray, ...] | None = None
 
     @property
-    def slot(self) -> np.ndarray:
-        """The symbol of each of the 2**PRECISION numbers."""
-        if self._slot is None:
-            self._slot = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
-        return self._slot
+    def slots(self) -> tuple[np.ndarray, ...]:
+        """Of each of the 2**PRECISION numbers: its symbol, that symbol's frequency, and the number's place among those of the symbol."""
+        if self._slots is None:
+            symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
+            self._slots = symbol, self.freq[symbol].astype(np.int32), (np.arange(len(symbol)) - self.start[symbol]).astype(np.int32)
+        return self._slots
 
 
 @dataclass
@@ -66,18 +67,19 @@ class Coded:
 def encode(symbols: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY) -> Coded:
     n = len(symbols)
     lanes = max(1, min(lanes, n))
-    state, steps = np.full(lanes, LOW, np.uint64), -(-n // lanes)
-    f, c = table.freq[symbols], table.start[symbols]
+    state, steps = np.full(lanes, LOW, np.int64), -(-n // lanes)
+    f, c = table.freq.take(symbols), table.start.take(symbols)
+    most = f << (63 - PRECISION)  # above it a state has a word to give; at most 2**63, so it is compared less one
     parts, sizes, marks = [], [], []
     for k in reversed(range(steps)):
         a, b = k * lanes, min(n, (k + 1) * lanes)
         x, freq = state[: b - a], f[a:b]
-        full = x >= freq << np.uint64(63 - PRECISION)
-        parts.append(x[full].astype(np.uint32))
+        full = x > most[a:b] - 1
+        parts.append((x[full] & 0xFFFFFFFF).astype(np.uint32))
         sizes.append(len(parts[-1]))
         x = np.where(full, x >> WORD, x)
         q = x // freq
-        state[: b - a] = (q << np.uint64(PRECISION)) + (x - q * freq) + c[a:b]
+        state[: b - a] = (q << PRECISION) + (x - q * freq) + c[a:b]
         if k and k % every == 0:
             marks.append((k, sum(sizes), state.copy()))
     total = sum(sizes)
@@ -93,17 +95,16 @@ def decode(coded: Coded, table: Table, start: int = 0, stop: int | None = None)
         at, state = next((w, s.copy()) for k, w, s in coded.checkpoints if k == start)
     steps = -(-n // lanes)
     out = np.empty((min(steps, steps if stop is None else stop) - start) * lanes, np.uint32)
-    slot, freq, low = table.slot, table.freq, table.start
+    symbol, freq, place = table.slots
+    words = coded.words.astype(np.int64)
     for k in range(start, min(steps, steps if stop is None else stop)):
         size = min(n, (k + 1) * lanes) - k * lanes
         x = state[:size]
         r = x & _MASK
-        s = slot[r]
-        out[(k - start) * lanes : (k - start) * lanes + size] = s
-        x = freq[s] * (x >> np.uint64(PRECISION)) + r - low[s]
-        need = x < LOW
-        m = int(np.count_nonzero(need))
-        x[need] = x[need] << WORD | coded.words[at : at + m]
-        at += m
+        out[(k - start) * lanes : (k - start) * lanes + size] = symbol.take(r)
+        x = (x >> PRECISION) * freq.take(r) + place.take(r)
+        need = np.flatnonzero(x < LOW)
+        x[need] = x[need] << WORD | words[at : at + len(need)]
+        at += len(need)
         state[:size] = x
     return out[: min(n, start * lanes + len(out)) - start * lanes]

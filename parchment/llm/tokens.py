@@ -7,8 +7,8 @@ or marks, which the tokenizer's pattern takes as one match each, go straight to
 ordinary text, unless the caller says otherwise.
 
 A file set is a Parquet folder of blocks in ascending doc_id, plus one table of symbol frequencies that all blocks
-share, counted over all documents. A block holds whole documents, about BLOCK ids of them, with its first position,
-the documents' ids and lengths, lane states, stream words, checkpoints, and a crc32 of its ids, which every reader verifies.
+share, counted over all documents, and one of the parts' first positions. A block holds whole documents, about BLOCK
+ids of them, with its first position in its part, the documents' ids and lengths, lane states, stream words, checkpoints, and a crc32 of its ids, which every reader verifies.
 
 Null and empty texts have no ids of their own, only the end id. Rows that share a doc_id follow each other in order of
 their text's hash; a null doc_id comes first. Extra columns are not read. An empty table gives a file set without blocks.
@@ -130,9 +130,9 @@ def _ids(path: str, end: int, special: bool):
         width, last = bytes([encoder.kind.itemsize]), np.array([end], encoder.kind).tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                docs, texts = text_columns(batch.slice(k, 1000), "doc_id", "text")
+                docs, tie, texts = text_columns(batch.slice(k, 1000), "doc_id", "tie", "text")
                 ids = encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.cast(pa.binary())])
-                yield pa.RecordBatch.from_arrays([docs, pa.array([width + x + last for x in ids], pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([docs, tie, pa.array([width + x + last for x in ids], pa.binary())], names=["doc_id", "tie", "ids"])
 
     return mapped
 
@@ -161,34 +161,35 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class FileSet:
-    """Where a file set is, and the table its blocks share."""
+    """Where a file set is: its blocks, the frequency table they share, and the first position of each part."""
 
     blocks: str
     table: str
+    parts: str
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end: int = 0, special: bool = False, block: int = BLOCK, at: str | None = None) -> FileSet:
     """docs: doc_id, text. Encodes every text, adds the id end, and writes all in ascending doc_id. tokenizer: path of its file on all machines."""
     spark = docs.sparkSession
     at = at or new_path(spark, "ids")
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    # the part number is taken where the order is made, and read back with the rows
-    rows = stored(ordered.mapInArrow(_ids(tokenizer, end, special), "doc_id long, ids binary").withColumn("part", F.spark_partition_id()).withColumn("no", F.monotonically_increasing_id()), "ids")
-    counts = stored(rows.select("ids").mapInArrow(_counts, "part int, id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "counts")
-    counted = counts.toArrow()  # a row per id of the vocabulary at most
+    files = FileSet(f"{at}/blocks", f"{at}/table", f"{at}/parts")
+    rows = stored(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_ids(tokenizer, end, special), "doc_id long, tie long, ids binary"), "ids")
+    counted = rows.select("ids").mapInArrow(_counts, "part int, id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row per id of the vocabulary at most
     total = np.zeros(max([0, *counted["id"].to_pylist()]) + 1, np.int64)
     total[counted["id"].to_numpy()] = counted["n"].to_numpy()
     freq = normalized(total)
-    table_at = f"{at}/table"
-    spark.createDataFrame([(k, int(freq[k])) for k in np.flatnonzero(freq).tolist()], "id int, freq int").coalesce(1).write.parquet(table_at)
-    sizes = rows.select("part", ((F.octet_length("ids") - 1) / F.conv(F.hex(F.substring("ids", 1, 1)), 16, 10)).cast("long").alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
-    before, starts = 0, {}
+    spark.createDataFrame([(k, int(freq[k])) for k in np.flatnonzero(freq).tolist()], "id int, freq int").coalesce(1).write.parquet(files.table)
+    held = spark.sparkContext.broadcast(freq)
+    # ids are put in order once; texts stay where they are
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    ordered.mapInArrow(_blocks(held, block), BLOCKS).write.option("compression", "none").parquet(files.blocks)
+    sizes = spark.read.schema(BLOCKS).parquet(files.blocks).groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before, starts = 0, []
     for part, n in sorted(sizes.collect()):  # a row per partition
-        starts[part] = before
+        starts.append((part, before))
         before += n
-    held = spark.sparkContext.broadcast((freq, starts))
-    rows.repartitionByRange("part").sortWithinPartitions("part", "no").select("part", "doc_id", "ids").mapInArrow(_blocks(held, block), BLOCKS).write.option("compression", "none").parquet(f"{at}/blocks")
-    return FileSet(f"{at}/blocks", table_at)
+    spark.createDataFrame(starts, "part int, start long").coalesce(1).write.parquet(files.parts)
+    return files
 
 
 def _blocks(held, size: int):
@@ -203,8 +204,7 @@ def _blocks(held, size: int):
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, fields, strict=True)], names=names)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq, starts = held.value
-        table = Table(freq)
+        table = Table(held.value)
         docs, ids, n, part, at = [], [], 0, None, 0
         for batch in batches:
             for p, doc, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -212,7 +212,7 @@ def _blocks(held, size: int):
                     yield coded(part, at, docs, ids, table)
                     docs, ids, at, n = [], [], at + n, 0
                 if p != part:
-                    part, at = p, starts[p]
+                    part, at = p, 0
                 docs.append(doc)
                 ids.append(_unpacked(data))
                 n += len(ids[-1])
@@ -230,29 +230,31 @@ def _table(spark: SparkSession, files: FileSet) -> np.ndarray:
 
 
 def _coded(row: dict) -> Coded:
-    marks = [(m["step"], m["word"], np.frombuffer(m["states"], np.uint64)) for m in row["marks"]]
-    return Coded(row["n_ids"], np.frombuffer(row["states"], np.uint64), np.frombuffer(row["words"], np.uint32), marks)
+    marks = [(m["step"], m["word"], np.frombuffer(m["states"], np.int64)) for m in row["marks"]]
+    return Coded(row["n_ids"], np.frombuffer(row["states"], np.int64), np.frombuffer(row["words"], np.uint32), marks)
 
 
 def read_ids(spark: SparkSession, files: FileSet, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, and ids unless they are not wanted; raises where a block's checksum does not hold."""
-    held = spark.sparkContext.broadcast(_table(spark, files))
+    starts = {r["part"]: r["start"] for r in spark.read.schema("part int, start long").parquet(files.parts).collect()}
+    held = spark.sparkContext.broadcast((_table(spark, files), starts))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(held.value)
+        freq, first = held.value
+        table = Table(freq)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 symbols = decode(_coded(row), table)
                 data = symbols.astype("<u4").tobytes()
                 if zlib.crc32(data) != row["crc"]:
-                    raise ValueError(f"block at {row['start']} is damaged")
+                    raise ValueError(f"block {row['part']}, {row['start']} is damaged")
                 sizes = np.array(row["sizes"], np.int64)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["start"]), pa.array(sizes), pa.array(crc, pa.int64())]
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + (first[row["part"]] + row["start"])), pa.array(sizes), pa.array(crc, pa.int64())]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(symbols.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])

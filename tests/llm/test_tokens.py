@@ -40,7 +40,7 @@ def test_files_hold_small_blocks_and_verify(spark):
     bad = k.new_path(spark, "bad")
     blocks.withColumn("crc", blocks["crc"] + 1).write.parquet(bad)
     with pytest.raises(Exception, match="damaged"):
-        k.read_ids(spark, k.FileSet(bad, files.table)).collect()
+        k.read_ids(spark, k.FileSet(bad, files.table, files.parts)).collect()
 
 
 def test_empty(spark):

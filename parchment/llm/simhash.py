@@ -190,7 +190,8 @@ def _classes(fps: DataFrame, shard_size: int = SHARD) -> DataFrame:
     roots = stored(components(near_links(nodes.select("fp"), shard_size)), "roots").withColumnRenamed("node", "fp")
     joined = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.join(roots.select("fp"), "fp", "left_semi").groupBy("root").agg(F.min("least").alias("component"))
-    return joined.join(least, "root", "left").select("fp", "root", F.coalesce("component", "least").alias("component_id"))
+    # written down, so that a join with it deals both sides anew and can split the rows of a fingerprint that very many copies share
+    return stored(joined.join(least, "root", "left").select("fp", "root", F.coalesce("component", "least").alias("component_id")), "classes")
 
 
 def near_components(docs: DataFrame, shard_size: int = SHARD) -> DataFrame:
@@ -202,7 +203,9 @@ def near_components(docs: DataFrame, shard_size: int = SHARD) -> DataFrame:
 def first_of_group(docs: DataFrame, shard_size: int = SHARD) -> DataFrame:
     """docs without all but one document of each component: the one of the least doc_id, of equal ids that of the least text hash."""
     fps = stored(fingerprints(docs), "fingerprints")
-    kept = fps.join(_classes(fps, shard_size), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("k"))
+    # the first row of each fingerprint, then of each component: copies meet as one row of each task
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("k"))
+    kept = first.join(_classes(fps, shard_size), "fp").groupBy("root").agg(F.min("k").alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.tag").alias("_tag"))
     tagged = docs.withColumn("_t", F.xxhash64("text"))
     joined = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_t"] == kept["_tag"]), "left_semi")

@@ -2,7 +2,7 @@
 
 A text is cut before each space that a printing character follows. The tokenizer's own pattern never matches across
 such a place, so the ids of the pieces, one after the other, are the ids of the text; every piece is encoded by the
-tokenizers library once per worker, until the worker keeps MEMO pieces and begins anew; runs of letters, digits
+tokenizers library once per worker, as long as the worker keeps less than MEMO pieces; runs of letters, digits
 or marks, which the tokenizer's pattern takes as one match each, go straight to the library's merges. A tokenizer of another kind encodes whole texts. Special tokens' names in texts are
 ordinary text, unless the caller says otherwise.
 
@@ -63,6 +63,7 @@ class Encoder(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
         self.runs: dict[bytes, bytes] = {}
+        self.misses = 0
         self.line = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
@@ -85,9 +86,13 @@ class Encoder(dict):
             ids = self[first] + b"".join(map(self.run, rest)) if rest else self._match(b" " + first)
         else:
             ids = self._plain(" " + piece.decode("utf-8", "replace"))
-        if len(self) >= MEMO:
-            self.clear()
-        self[piece] = ids
+        if len(self) < MEMO:
+            self[piece] = ids
+        else:  # the common pieces are in already; only after many more misses do texts seem to have changed
+            self.misses += 1
+            if self.misses > 8 * MEMO:
+                self.clear()
+                self.misses = 0
         return ids
 
     def run(self, run: bytes) -> bytes:

@@ -40,7 +40,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

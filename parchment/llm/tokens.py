@@ -4,7 +4,7 @@ A text is cut before each space that a printing character follows. The tokenizer
 such a place, so the ids of the pieces, one after the other, are the ids of the text; every piece is encoded by the
 tokenizers library once per worker, as long as the worker keeps less than MEMO pieces; runs of letters, digits
 or marks, which the tokenizer's pattern takes as one match each, go straight to the library's merges. A tokenizer of another kind encodes whole texts. Special tokens' names in texts are
-ordinary text, unless the caller says otherwise.
+ordinary text, unless the caller says otherwise, as the query does; then texts are first split at the added tokens, as the library does.
 
 A file set is a Parquet folder of blocks in ascending doc_id, plus one table of symbol frequencies that all blocks
 share, counted over all documents, and one of the parts' first positions. A block holds whole documents, about BLOCK
@@ -58,7 +58,13 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = not special
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code, self.merges = "H" if self.kind.itemsize == 2 else "I", self.tokenizer.model.tokenize
-        self.bytewise = not special and json.loads(self.tokenizer.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        about = json.loads(self.tokenizer.to_str())
+        added = about["added_tokens"] if special else []
+        plain = about["normalizer"] is None and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+        # of tokens that begin at one place the library takes the longest
+        self.added = {t["content"].encode(): array(self.code, [t["id"]]).tobytes() for t in sorted(added, key=lambda t: -len(t["content"].encode()))}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.added)) + b")") if self.added else None
+        self.bytewise = (plain or not special) and about["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         # the byte-level alphabet: printing characters of Latin-1 stand for themselves, the others for those from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
@@ -113,15 +119,21 @@ class Encoder(dict):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes of kind."""
-        of, out = self.__getitem__, []
+        out = []
         for t in texts:
-            pieces = _CUT.split(t) if _ODD.search(t) else t.split(b" ")
-            if self.bytewise:
-                out.append(self.head(pieces[0]) + b"".join(map(of, pieces[1:])))
-            else:
+            if not self.bytewise:
                 out.append(self._plain(t.decode("utf-8", "replace")))
+            elif any(x in t for x in self.added):
+                out.append(b"".join([self.added[x] if k % 2 else self._stretch(x) for k, x in enumerate(self.cut.split(t))]))
+            else:
+                out.append(self._stretch(t))
         return out
 
+    def _stretch(self, t: bytes) -> bytes:
+        """The ids of a text, or of what stands between added tokens in it."""
+        pieces = _CUT.split(t) if _ODD.search(t) else t.split(b" ")
+        return self.head(pieces[0]) + b"".join(map(self.__getitem__, pieces[1:]))
+
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
@@ -267,6 +279,6 @@ def read_ids(spark: SparkSession, files: FileSet, ids: bool = True) -> DataFrame
     return spark.read.schema(BLOCKS).parquet(files.blocks).mapInArrow(mapped, schema)
 
 
-def token_report(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
+def token_report(docs: DataFrame, tokenizer: str, end: int = 0, special: bool = False) -> DataFrame:
     """Writes the file set in the shared folder and reads it back."""
-    return read_ids(docs.sparkSession, write_ids(docs, tokenizer, end), ids=False)
+    return read_ids(docs.sparkSession, write_ids(docs, tokenizer, end, special), ids=False)

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests on one machine, a new local one."""
+    """The folder named in spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, a new local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not own.isDefined():
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-parchment-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = own.get()
@@ -32,6 +35,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def forget(spark: SparkSession, at: str) -> None:
+    """Deletes a scratch table that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_or_empty(spark: SparkSession, at: str, schema: str) -> DataFrame:
     """The Parquet rows there, none where there is no folder yet."""
     try:

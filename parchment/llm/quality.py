@@ -7,7 +7,8 @@ of that sample that the weights never saw, and a text is kept when its probabili
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged alike, one output row each.
 Extra columns are not read. Labels with a null are left out, of contradicting labels of one document the lowest
-counts; with labels of one class only, or none, the model keeps all. An empty table gives an empty result.
+counts; with labels of one class only, or none, the model keeps all. An empty table gives an empty result. Very long
+texts are judged whole, one at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, chunks, hashes, mixed, rolling, spans, text_columns, utf8
+from .shared import PLAIN, chunks, mixed, spans, text_columns, utf8, word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_ROWS = 1500
@@ -79,7 +80,7 @@ def _views(column: pa.Array):
     for i, j in chunks(offsets):
         part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends = spans(part, at, PLAIN)
-        yield part, at, starts, ends, hashes(rolling(part), starts, ends)
+        yield part, at, starts, ends, word_hashes(part, starts, ends)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int =
         held[:] = False
     use = np.flatnonzero(~held)
     flat, share = np.concatenate([rows[i][0] for i in use]), np.concatenate([rows[i][1] for i in use])
-    row = np.repeat(np.arange(len(use)), [len(rows[i][0]) for i in use])
+    row = np.repeat(np.arange(len(use), dtype=np.int32), [len(rows[i][0]) for i in use])
     target, size = y[use].astype(np.float64), model.weights.size
     w, seen, b, seen_b = np.zeros(size), np.full(size, 1e-12), 0.0, 1e-12
     for _ in range(steps):
@@ -137,16 +138,33 @@ def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of _features, in their order: one row with the model."""
+    rows, labels = [], []
+    for batch in batches:
+        label, grams, shares = text_columns(batch, "label", "grams", "shares")
+        labels += label.to_pylist()
+        # copies of their own, so that the batches' buffers go
+        rows += [(np.array(g.values, np.int32), np.array(s.values, np.float32)) for g, s in zip(grams, shares, strict=True)]
+    model = _fit(rows, np.array([x > 0 for x in labels], np.int64))
+    values = (model.weights.tobytes(), model.intercept, model.slope, model.shift)
+    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in values], names=["weights", "intercept", "slope", "shift"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits the classifier on at most max_rows labelled documents, the first by the hash of their id.
 
-    docs: doc_id, text. labels: doc_id, quality (above 0: good). Only these rows' n-gram shares reach the driver.
+    docs: doc_id, text. labels: doc_id, quality (above 0: good). One task gets the n-gram shares of these rows, of which
+    a text has at most one for each weight; only the model, of a fixed size, reaches the driver.
     """
     picked = labels.select("doc_id", F.col("quality").cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    table = sample.select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, grams array<int>, shares array<float>").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    rows = list(zip((np.array(x.as_py(), np.int64) for x in table["grams"]), (np.array(x.as_py(), np.float64) for x in table["shares"]), strict=True))
-    return _fit(rows, np.array([int(x > 0) for x in table["label"].to_pylist()], np.int64))
+    shares = sample.select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, grams array<int>, shares array<float>")
+    ordered = shares.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    row = ordered.mapInArrow(_fitted, "weights binary, intercept double, slope double, shift double").first()
+    if row is None:  # no labelled rows, and so no task
+        return _fit([], np.zeros(0, np.int64))
+    return Model(np.frombuffer(row["weights"], np.float32).reshape(len(WORDS) + len(CHARS), DIMS), row["intercept"], row["slope"], row["shift"])
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"

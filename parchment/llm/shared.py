@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import new_path, stored  # noqa: F401
+from ..storage import forget, new_path, stored  # noqa: F401
 
 #: `[^\x20\x09-\x0D]` and `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` as byte tables; bytes of longer UTF-8 sequences are word bytes in both.
 PLAIN = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
@@ -88,6 +89,29 @@ def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mixed((sums[ends] - sums[starts]) * _powers(len(sums))[1][starts])
 
 
+#: Bytes up to which hashes() is trusted for single words. Longer strings can be built that it takes for one another.
+SHORT = 32
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words; those of more than SHORT bytes by XXH64, as a polynomial modulo 2**64 is no sound hash of long strings."""
+    out = hashes(rolling(raw), starts, ends)
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), 42)
+    return out
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names, with as many underscores more as it takes for df to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(x)) for x in names]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 #: Blocks of 64 bytes in a filter: at most 8 MB, however many keys there are.
 MAX_BLOCKS = 1 << 17
 #: Filter bits for each key, as long as MAX_BLOCKS allows.
@@ -31,9 +33,10 @@ def bloom_filter(keys: DataFrame, n_keys: int, max_blocks: int = MAX_BLOCKS) ->
 
 def with_maybe(rows: DataFrame, key: Column, blooms: DataFrame, n_blocks: int, name: str) -> DataFrame:
     """rows with a boolean column: false where the filter has no such key; a null key is in no filter."""
+    block, *words = free_names(rows, "block", *(f"w{k}" for k in range(8)))
     hit = F.lit(True)
-    for k in range(8):
-        hit = hit & (F.col(f"_w{k}").bitwiseAND(_bit(key, k)) != 0)
-    of = blooms.select(F.col("block").alias("_block"), *(F.col(f"w{k}").alias(f"_w{k}") for k in range(8)))
-    joined = rows.join(F.broadcast(of), _block(key, n_blocks) == F.col("_block"), "left")
-    return joined.withColumn(name, F.coalesce(hit & key.isNotNull(), F.lit(False))).drop("_block", *(f"_w{k}" for k in range(8)))
+    for k, w in enumerate(words):
+        hit = hit & (F.col(w).bitwiseAND(_bit(key, k)) != 0)
+    of = blooms.select(F.col("block").alias(block), *(F.col(f"w{k}").alias(w) for k, w in enumerate(words)))
+    joined = rows.join(F.broadcast(of), _block(key, n_blocks) == F.col(block), "left")
+    return joined.withColumn(name, F.coalesce(hit & key.isNotNull(), F.lit(False))).drop(block, *words)

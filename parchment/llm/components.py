@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .bloom import bloom_filter, with_maybe
+from .shared import free_names, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -41,3 +42,27 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         now, before = stored(_small_star(_large_star(now)), "edges"), state
+
+
+def first_of_classes(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """docs without all but one row of each class: the one of the least doc_id, of equal ids that of the least text hash.
+
+    rows: doc_id, tag (xxhash64 of the text) and key of each row of docs; roots: key, root, for the keys that are linked.
+    Rows of one key are a class, linked keys too. A null doc_id comes last. Only rows whose class may have others cross
+    the shuffle with their texts; a Bloom filter of text hashes tells which.
+    """
+    least = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("k"), F.count("*").alias("n"))
+    keyed = stored(least.join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "classes")
+    several = keyed.groupBy("root").agg(F.min("k").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    # written down, so that the join with it deals both sides anew and can split the rows of a key that very many copies share
+    several = stored(keyed.select("key", "root").join(several, "root").select("key", "first"), "several")
+    kept = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag").eqNullSafe(F.col("first"))
+    marked = stored(rows.join(several, "key").select("doc_id", "tag", kept.alias("keep")).distinct(), "marked")
+    blooms, n_blocks = bloom_filter(marked.select(F.col("tag").alias("key")).distinct(), marked.count())
+    tag, none, of, maybe, keep, one = free_names(docs, "tag", "none", "of", "maybe", "keep", "one")
+    tagged = with_maybe(docs.withColumn(tag, F.xxhash64("text")), F.col(tag), stored(blooms, "blooms"), n_blocks, maybe)
+    alone = tagged.filter(~F.col(maybe)).select(*docs.columns)
+    wanted = marked.select(F.col("tag").alias(tag), F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(of), F.col("keep").alias(keep))
+    met = tagged.filter(maybe).withColumn(none, F.col("doc_id").isNull()).withColumn(of, F.coalesce("doc_id", F.lit(0))).join(wanted, [tag, none, of], "left")
+    once = met.filter(F.coalesce(keep, F.lit(True))).withColumn(one, F.when(F.col(keep), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
+    return alone.unionByName(once.dropDuplicates([tag, none, of, one]).select(*docs.columns))

@@ -11,7 +11,7 @@ driver, as together they hold every fingerprint.
 
 Null and empty texts have no words: their fingerprint is zero, and they are linked like others. Repeated rows have
 equal fingerprints and so one component; a null doc_id is never a component's least id, unless all its ids are null.
-Extra columns are not read. An empty table gives an empty result.
+Extra columns are not read. An empty table gives an empty result. A very long text is hashed whole, in stretches of shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, first_of_classes
 from .shared import stored, text_columns
 
 #: Fingerprints with at most this many differing bits are linked; the shards below rely on two.
@@ -202,11 +202,6 @@ def near_components(docs: DataFrame, shard_size: int = SHARD) -> DataFrame:
 
 def first_of_group(docs: DataFrame, shard_size: int = SHARD) -> DataFrame:
     """docs without all but one document of each component: the one of the least doc_id, of equal ids that of the least text hash."""
-    fps = stored(fingerprints(docs), "fingerprints")
-    # the first row of each fingerprint, then of each component: copies meet as one row of each task
-    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("k"))
-    kept = first.join(_classes(fps, shard_size), "fp").groupBy("root").agg(F.min("k").alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.tag").alias("_tag"))
-    tagged = docs.withColumn("_t", F.xxhash64("text"))
-    joined = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_t"] == kept["_tag"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    rows = stored(fingerprints(docs), "fingerprints").withColumnRenamed("fp", "key")
+    roots = stored(components(near_links(rows.select(F.col("key").alias("fp")).distinct(), shard_size)), "roots")
+    return first_of_classes(docs, rows, roots.withColumnRenamed("node", "key"))

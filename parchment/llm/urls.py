@@ -2,10 +2,12 @@
 
 The list's keys set one bit in each of the eight words of one 512-bit block. The filter's size has a fixed bound
 (MAX_BLOCKS), so it is broadcast; urls that it passes go on to a hash join with the list itself, which removes
-false positives. Urls that it does not pass get a join key of their own that no list entry has, so they spread evenly.
+false positives. Urls that it does not pass are on no list for sure; they meet neither the shuffle nor the join. A list of
+more keys than the bound allows for lets more urls through to the join, whose answer is the same.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and is on no list. Repeated pages are judged
-one by one; extra columns are not read; an empty list lists nothing; null entries of the list are left out.
+one by one; extra columns are not read; an empty list lists nothing; null entries of the list are left out. Urls of any
+length are judged whole.
 """
 
 from __future__ import annotations
@@ -57,13 +59,11 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, max_blocks: int
     url = F.col("url")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical_url"))
     probe = with_maybe(seen, F.col("canonical_url"), blooms, n_blocks, "maybe_listed")
-    # the space cannot stand first in a canonical url that a list holds and a filter passes: such keys find no partner
-    probe = probe.withColumn("key", F.when(F.col("maybe_listed"), F.col("canonical_url")).otherwise(F.concat(F.lit(" not listed "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("canonical_url", F.lit("")))))
-    joined = probe.join(keys.withColumn("listed", F.lit(True)), "key", "left")
+    hits = probe.filter("maybe_listed").join(keys.select(F.col("key").alias("canonical_url"), F.lit(True).alias("listed")), "canonical_url", "left")
+    joined = hits.withColumn("listed", F.coalesce("listed", F.lit(False))).unionByName(probe.filter("not maybe_listed").withColumn("listed", F.lit(False)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    listed_now = F.col("maybe_listed") & F.coalesce("listed", F.lit(False))
     return joined.select(
         "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(listed_now, "block").otherwise("allow")).alias("verdict"),
-        "canonical_url", "maybe_listed", listed_now.alias("listed"),
+        F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
+        "canonical_url", "maybe_listed", "listed",
     )

@@ -52,7 +52,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_digest(table(spark, sf_dir, "documents"))
+    return secret_digest(table(spark, sf_dir, "documents"), n_batches=2)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

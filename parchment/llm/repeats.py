@@ -1,25 +1,28 @@
-"""Suffix-array dedup by a logarithmic index family: bytes of every LENGTH-byte string that also starts earlier are removed.
+"""Dedup of repeated bytes by a logarithmic index family: bytes of every LENGTH-byte string that also starts earlier are removed.
 
 A text's LENGTH-byte windows are dealt to anchors: of the GRAM-byte strings in a window the one with the least hash, the
 leftmost of equals. Equal windows have their anchor at the same place in them, so an index of the suffixes at anchors
-(about one in 33 bytes) finds every repeat. A run is the stretch of windows of one anchor; its row holds g, the hash of
+(about one in 35 bytes) finds every repeat. A run is the stretch of windows of one anchor; its row holds g, the hash of
 the anchor's string, and r, the hash of all bytes of the run.
 
-Batches come in ascending doc_id. The runs of a batch, sorted by (g, r, place), are its sparse suffix array. It is
-merge-scanned with the arrays of all existing levels in one sorted pass: a run with an equal run before it is a repeat as
-a whole; runs that share g only are compared window by window. Level k holds 2**k batches: the pass writes the new array
-and those of the full lower levels as one array of the next level, so each run is rewritten a logarithmic number of times.
+Batches come in ascending doc_id. The runs of a batch, sorted by (g, r, place), stand for its suffix array: suffixes at
+anchors, in order of hashes instead of bytes. It is merge-scanned with the arrays of all existing levels in one sorted
+pass: a run with an equal run before it is a repeat as a whole; runs that share g only are compared window by window.
+Level k holds 2**k batches: the pass writes the new array and those of the full lower levels as one array of the next
+level, so each run is rewritten a logarithmic number of times, and the levels that it replaces are deleted.
 
 Within a task, an Arrow batch's repeats are found before the shuffle, so copies of one text send one set of runs per
-batch. Groups of more than GROUP runs that share g are compared through rows of window hashes, not in one task.
+batch. Anchors that a sample shows to be very frequent are dealt out by r too, and all their runs are compared. Groups of
+more than GROUP runs that share g are compared through rows of window hashes, not in one task.
 
-Null and empty texts have no bytes; texts shorter than LENGTH lose none. Rows that share a doc_id are ordered by a
-25-bit hash of their text; rows that are wholly equal stand at the same place, and neither is earlier. A null doc_id comes first.
-Extra columns are not read.
+Null and empty texts have no bytes; texts shorter than LENGTH lose none; texts of any length are indexed whole, in parts.
+Rows that share a doc_id are ordered by a 63-bit hash of their text; rows that are wholly equal stand at the same place,
+and neither is earlier. A null doc_id comes first. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,29 +31,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bloom import MAX_BLOCKS, bloom_filter, with_maybe
-from .shared import chunks, hashes, new_path, rolling, stored, text_columns, utf8
+from .shared import chunks, forget, hashes, new_path, rolling, stored, text_columns, utf8
 from .shared import mixed as spread
 
 #: Bytes of a string that counts as repeated, and of the strings that anchors are chosen from.
 LENGTH, GRAM = 100, 32
 #: Runs that share an anchor string and are compared in one task.
-GROUP = 1 << 14
+GROUP = 1 << 12
+#: One in SAMPLE documents tells the frequent anchors: HOT of them at most, with OFTEN runs or more; their runs are dealt out to SALTS times as many tasks.
+SAMPLE, OFTEN, HOT, SALTS = 64, 32, 1024, 64
 _REACH = LENGTH - GRAM + 1
 _PIECE = 1 << 22
-ROW = "g long, r long, doc long, place long, stop long"
-
-
-def _place(tie: np.ndarray, start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    """Text hash, first byte and number of windows in one number that sorts in their order."""
-    return tie << 38 | start << 7 | n
-
-
-def tie_of(place: Column) -> Column:
-    return F.shiftright(place, 38)
+_SIGN = -(1 << 63)
+#: place: first byte and number of windows; stop: only in rows of bytes that an earlier run of the same Arrow batch has.
+ROW = "g long, r long, doc long, tie long, place long, stop long"
+SPANS = "doc long, tie long, start long, stop long"
 
 
 def start_of(place: Column) -> Column:
-    return F.shiftright(place, 7).bitwiseAND((1 << 31) - 1)
+    return F.shiftright(place, 7)
 
 
 def windows_of(place: Column) -> Column:
@@ -93,6 +92,7 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ROW for each Arrow batch: the first run of each (g, r), and with stop set, the bytes of its later ones."""
+    names = [x.split()[0] for x in ROW.split(", ")]
     for batch in batches:
         docs, ties, texts = text_columns(batch, "doc", "tie", "text")
         doc, tie = docs.to_numpy(zero_copy_only=False), ties.to_numpy(zero_copy_only=False)
@@ -115,7 +115,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twin = again & (rank[row] == rank[row[first_of]]) & (start == start[first_of])  # the same place in an equal row
         later = again & ~twin
         once = ~again
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[once].view(np.int64), r[once].view(np.int64), doc[row[once]], _place(tie[row[once]], start[once], n[once]))] + [pa.nulls(int(once.sum()), pa.int64())], names=["g", "r", "doc", "place", "stop"])
+        columns = (g[once].view(np.int64), r[once].view(np.int64), doc[row[once]], tie[row[once]], start[once] << 7 | n[once])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(int(once.sum()), pa.int64())], names=names)
         if later.any():
             row, start, stop = row[later], start[later], start[later] + n[later] + LENGTH - 1
             by_place = np.lexsort((start, row))
@@ -124,74 +125,100 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh[1:] = (row[1:] != row[:-1]) | (start[1:] > stop[:-1])
             head, last = np.flatnonzero(fresh), np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(row) - 1]])
             own = spread(doc[row[head]].astype(np.uint64) + (start[head].astype(np.uint64) << np.uint64(32))).view(np.int64)  # deals them out evenly
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, np.zeros(len(head), np.int64), doc[row[head]], _place(tie[row[head]], start[head], 1), stop[last])], names=["g", "r", "doc", "place", "stop"])
+            columns = (own, np.zeros(len(head), np.int64), doc[row[head]], tie[row[head]], start[head] << 7, stop[last])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=names)
+
 
+def _keyed(docs: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """doc_id, doc (the doc_id, or the least long), tie (where the doc_id may stand in several rows, a hash of the text, below zero without doc_id; else 0) and text."""
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_SIGN)).alias("doc"), "text")
+    several = stored(rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias("key")), "several")
+    blooms, n_blocks = bloom_filter(several, several.count(), max_blocks)
+    half = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    tie = F.when(F.col("doc_id").isNull(), half.bitwiseOR(F.lit(_SIGN))).when(F.col("several"), half).otherwise(F.lit(0).cast("long"))
+    return with_maybe(rows, F.col("doc"), stored(blooms, "blooms"), n_blocks, "several").select("doc_id", "doc", tie.alias("tie"), "text")
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (the doc_id, or the least long), tie (a hash of the text) and text."""
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").bitwiseAND((1 << 25) - 1).alias("tie"), "text")
+
+def frequent_anchors(keyed: DataFrame) -> DataFrame:
+    """g of anchors that very many runs share, by a sample of documents. At most HOT; they decide how rows are dealt out, not what is found."""
+    runs = keyed.filter(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0).select("doc", "tie", "text").mapInArrow(_scan, ROW)
+    return stored(runs.filter("stop is null").groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "g").limit(HOT).select("g"), "frequent")
 
 
 class IndexFamily:
-    """The levels of the index; add() takes batches of ascending doc_ids and keeps what it finds in them."""
+    """The levels of the index; add() takes batches of ascending doc_ids and keeps what it finds in them. frequent: g of anchors whose runs are dealt out further."""
+
+    def __init__(self, spark: SparkSession, frequent: DataFrame | None = None):
+        self.spark, self.frequent = spark, frequent
+        self.levels: dict[int, str] = {}
+        self.found: dict[str, DataFrame] = {}
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels, self.found = spark, {}, []
+    def _level(self, k: int) -> DataFrame:
+        """The first run of each (g, r) in the batches of level k."""
+        return self._table(self.levels[k]).filter("age < 2 and not again and stop is null").select("g", "r", "doc", "tie", "place", "stop")
+
+    def _table(self, at: str) -> DataFrame:
+        return self.spark.read.schema(f"{ROW}, age byte, again boolean, mixed boolean").parquet(at)
 
     def add(self, docs: DataFrame) -> None:
         """docs: doc, tie, text, with no doc below those of earlier batches."""
-        rows = docs.select("doc", "tie", "text").mapInArrow(_scan, ROW).withColumn("age", F.lit(0))
         into = 0
         while into in self.levels:
             into += 1
-        for k, level in self.levels.items():
-            rows = rows.unionByName(level.withColumn("age", F.lit(1 if k < into else 2)))
-        by_g = Window.partitionBy("g").orderBy("r", "doc", "place")
-        every = by_g.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        before = F.lag(F.struct("r", "doc", "place")).over(by_g)
-        same = F.coalesce(before["r"] == F.col("r"), F.lit(False))
-        twin = F.coalesce(same & (before["doc"] == F.col("doc")) & (before["place"] == F.col("place")), F.lit(False))
-        scanned = rows.select(
-            "*", (same & ~twin).alias("repeat"), twin.alias("twin"),
-            ((F.first("r").over(every) != F.last("r").over(every)) & (F.min("age").over(every) == 0)).alias("mixed"),
-        )
-        kept = scanned.filter("not twin and (age < 2 or (mixed and not repeat))").drop("twin")
+        age = lambda rows, n: rows.withColumn("age", F.lit(n).cast("byte"))
+        rows = age(docs.select("doc", "tie", "text").mapInArrow(_scan, ROW), 0)
+        for k in self.levels:
+            rows = rows.unionByName(age(self._level(k), 1 if k < into else 2))
+        salt = F.lit(-1)
+        if self.frequent is not None:
+            rows = rows.join(F.broadcast(self.frequent.withColumn("hot", F.lit(True))), "g", "left")
+            salt = F.when(F.col("hot"), F.pmod("r", F.lit(SALTS))).otherwise(-1)
+        ordered = Window.partitionBy("g", "salt").orderBy("r", "doc", "tie", "place")
+        before = F.lag(F.struct("r", "doc", "tie", "place")).over(ordered)
+        scanned = rows.withColumn("salt", salt.cast("int")).withColumn("before", before)
+        same = F.coalesce(F.col("before.r") == F.col("r"), F.lit(False))
+        twin = same & (F.col("before.doc") == F.col("doc")) & (F.col("before.tie") == F.col("tie")) & (F.col("before.place") == F.col("place"))
+        # a run behind another of its g, and every first run of a frequent one, tells that this g has several kinds of runs
+        mixed = F.col("stop").isNull() & ~same & (F.col("before.r").isNotNull() | (F.col("salt") >= 0))
+        kept = scanned.filter(~twin).select("g", "r", "doc", "tie", "place", "stop", "age", same.alias("again"), mixed.alias("mixed")).filter("age < 2 or mixed")
         at = new_path(self.spark, f"level{into}")
-        kept.write.parquet(at)
-        table = self.spark.read.schema(kept.schema).parquet(at)
-        self.found.append(table)
-        self.levels = {k: v for k, v in self.levels.items() if k > into} | {into: table.filter("age < 2 and not repeat and stop is null").select("g", "r", "doc", "place", "stop")}
-
-    def _union(self, *what) -> DataFrame:
-        out = self.found[0].select(*what)
-        for f in self.found[1:]:
-            out = out.unionByName(f.select(*what))
-        return out
+        kept.write.option("compression", "zstd").parquet(at)
+        for k in [k for k in self.levels if k < into]:
+            # what a replaced level has found stays, its array goes
+            old = self.levels.pop(k)
+            self.found[old] = stored(self.found[old], "found")
+            forget(self.spark, old)
+        self.levels[into] = at
+        self.found[at] = self._table(at).filter("mixed or age = 0 and (again or stop is not null)").select("g", "doc", "tie", "place", "stop", "mixed")
 
     def repeats(self) -> DataFrame:
-        """doc, tie, start, stop of runs that are repeats as a whole."""
-        rows = self._union("doc", "place", "stop", "age", "repeat").filter("age = 0 and (repeat or stop is not null)")
+        """SPANS of runs that are repeats as a whole."""
         start = start_of(F.col("place"))
-        return rows.select("doc", tie_of(F.col("place")).alias("tie"), start.alias("start"), F.coalesce("stop", start + windows_of(F.col("place")) + LENGTH - 1).alias("stop"))
+        spans = [f.filter("not mixed").select("doc", "tie", start.alias("start"), F.coalesce("stop", start + windows_of(F.col("place")) + LENGTH - 1).alias("stop")) for f in self.found.values()]
+        return functools.reduce(DataFrame.unionByName, spans)
 
     def mixed(self) -> DataFrame:
-        """g, doc, place of the first of each kind of run, of those that share g but not r."""
-        return self._union("g", "doc", "place", "stop", "mixed", "repeat").filter("mixed and not repeat and stop is null").select("g", "doc", "place").distinct()
+        """g, doc, tie, place of the first of each kind of run, of those that share g but not r."""
+        keys = stored(functools.reduce(DataFrame.unionByName, [f.filter("mixed").select("g") for f in self.found.values()]).distinct(), "mixed")
+        blooms, n_blocks = bloom_filter(keys.withColumnRenamed("g", "key"), keys.count())
+        firsts = functools.reduce(DataFrame.unionByName, [self._level(k).select("g", "doc", "tie", "place") for k in self.levels])
+        return with_maybe(firsts, F.col("g"), stored(blooms, "blooms"), n_blocks, "maybe").filter("maybe").drop("maybe").join(keys, "g", "left_semi")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that are to be compared."""
     for batch in batches:
-        docs, texts, runs = text_columns(batch, "doc", "text", "runs")
+        docs, ties, texts, runs = text_columns(batch, "doc", "tie", "text", "runs")
         raw, offsets = utf8(texts)
-        out: list[list] = [[], [], [], [], []]
-        for i, (doc, of) in enumerate(zip(docs.to_pylist(), runs.to_pylist(), strict=True)):
+        out: list[list] = [[], [], [], [], [], []]
+        for i, (doc, tie, of) in enumerate(zip(docs.to_pylist(), ties.to_pylist(), runs.to_pylist(), strict=True)):
             text = raw[offsets[i] : offsets[i + 1]]
             for run in of:
-                start, n = run["place"] >> 7 & (1 << 31) - 1, run["place"] & 127
-                for x, v in zip(out, (run["g"], doc, run["place"], run["hot"], text[start : start + n + LENGTH - 1].tobytes()), strict=True):
+                start, n = run["place"] >> 7, run["place"] & 127
+                for x, v in zip(out, (run["g"], doc, tie, run["place"], run["hot"], text[start : start + n + LENGTH - 1].tobytes()), strict=True):
                     x.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["g", "doc", "place", "hot", "bytes"])
+        kinds = (*[pa.int64()] * 4, pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["g", "doc", "tie", "place", "hot", "bytes"])
 
 
 def _windows(contexts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,17 +232,17 @@ def _windows(contexts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (g, doc, place): windows that an earlier run of their g also has."""
+    """Rows in order of (g, doc, tie, place): windows that an earlier run of their g also has."""
 
     def compared(table: pa.Table) -> pa.RecordBatch:
-        g, doc, place = (table[x].to_numpy() for x in ("g", "doc", "place"))
+        g, doc, tie, place = (table[x].to_numpy() for x in ("g", "doc", "tie", "place"))
         run, step, h = _windows(table["bytes"], place)
         order = np.lexsort((step, run, h, g[run]))
         again = np.zeros(len(order), bool)
         again[1:] = (h[order[1:]] == h[order[:-1]]) & (g[run[order[1:]]] == g[run[order[:-1]]])
         run, step = run[order[again]], step[order[again]]
-        start = (place[run] >> 7 & (1 << 31) - 1) + step
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[run], place[run] >> 38, start, start + LENGTH)], names=["doc", "tie", "start", "stop"])
+        start = (place[run] >> 7) + step
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[run], tie[run], start, start + LENGTH)], names=["doc", "tie", "start", "stop"])
 
     rest = None
     for batch in batches:
@@ -232,10 +259,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        g, doc, place = (batch.column(x).to_numpy() for x in ("g", "doc", "place"))
+        g, doc, tie, place = (batch.column(x).to_numpy() for x in ("g", "doc", "tie", "place"))
         run, step, h = _windows(batch.column("bytes"), place)
-        start = (place[run] >> 7 & (1 << 31) - 1) + step
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[run], h.view(np.int64), doc[run], place[run] >> 38, start)], names=["g", "h", "doc", "tie", "start"])
+        columns = (g[run], h.view(np.int64), doc[run], tie[run], (place[run] >> 7) + step)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["g", "h", "doc", "tie", "start"])
 
 
 def _near(docs: DataFrame, keys: DataFrame, name: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -245,13 +272,14 @@ def _near(docs: DataFrame, keys: DataFrame, name: str, max_blocks: int = MAX_BLO
 
 
 def _part_repeats(docs: DataFrame, mixed: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc, tie, start, stop of windows in mixed runs that also stand in an earlier run of the same g."""
+    """SPANS of windows in mixed runs that also stand in an earlier run of the same g."""
+    mixed = stored(mixed, "mixed")
     hot = mixed.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("g", F.lit(True).alias("hot"))
-    runs = mixed.join(hot, "g", "left").select("g", "doc", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
-    runs = stored(runs.groupBy("doc", tie_of(F.col("place")).alias("tie")).agg(F.collect_list(F.struct("g", "place", "hot")).alias("runs")), "mixed")
+    runs = mixed.join(hot, "g", "left").select("g", "doc", "tie", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
+    runs = stored(runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("g", "place", "hot")).alias("runs")), "runs")
     texts = _near(docs, runs, "near").filter("near").select("doc", "tie", "text").dropDuplicates(["doc", "tie"])
-    found = stored(texts.join(runs, ["doc", "tie"]).select("doc", "text", "runs").mapInArrow(_contexts, "g long, doc long, place long, hot boolean, bytes binary"), "contexts")
-    cold = found.filter("not hot").drop("hot").repartition("g").sortWithinPartitions("g", "doc", "place").mapInArrow(_compare, "doc long, tie long, start long, stop long")
+    found = stored(texts.join(runs, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(_contexts, "g long, doc long, tie long, place long, hot boolean, bytes binary"), "contexts")
+    cold = found.filter("not hot").drop("hot").repartition("g").sortWithinPartitions("g", "doc", "tie", "place").mapInArrow(_compare, SPANS)
     windows = found.filter("hot").drop("hot").mapInArrow(_explode, "g long, h long, doc long, tie long, start long")
     first = windows.groupBy("g", "h").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     late = windows.join(first, ["g", "h"]).filter(F.struct("doc", "tie", "start") > F.col("first"))
@@ -283,10 +311,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, n_batches: int = 2, group: int = GROUP, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_bytes, spans (maximal removed runs: start, stop in bytes) and kept (the other bytes), a row for each of docs."""
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, max_blocks)
     shares = [k / n_batches for k in range(1, n_batches)]
     cuts = sorted({x for x in (keyed.agg(F.percentile_approx("doc", shares)).first()[0] or [])}) if shares else []
-    family = IndexFamily(docs.sparkSession)
+    family = IndexFamily(docs.sparkSession, frequent_anchors(keyed))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = keyed if low is None else keyed.filter(F.col("doc") > low)
         family.add(batch if high is None else batch.filter(F.col("doc") <= high))

@@ -94,3 +94,44 @@ def test_long_text_in_parts(spark, monkeypatch):
         row, start, n, g, r = m._runs(np.frombuffer(raw, np.uint8)[a : a + at[-1]], at)
         ids += [x for s, k in zip((start + a).tolist(), n.tolist(), strict=True) for x in range(s, s + k)]
     assert ids == list(range(len(raw) - 99)) or sorted(ids) == list(range(len(raw) - 99))
+
+
+def test_many_rows_without_id_and_a_common_line(spark):
+    """Rows without id are ordered by their texts' hashes; a line that all documents share, in differing surroundings, is kept once."""
+    rng = random.Random(21)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    docs = [(i, f"{rng.random()} {line} {rng.random()}") for i in range(400)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {i: digest(*x) for (i, _), x in zip(docs, brute(docs), strict=True)}
+    for group in (1 << 14, 50):
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats_report(rows, 2, group).collect()} == want
+    texts = [f"{line[:60]} {k % 19_000}" + line[:40] for k in range(20_000)]
+    none = spark.createDataFrame([(None, t) for t in texts] + [(-(1 << 63), texts[0])], "doc_id long, text string").repartition(6)
+    out = repeats_report(none).collect()
+    assert len(out) == 20_001 and all(r["n_bytes"] >= 100 for r in out)
+    # the row of the least id comes after those without one
+    assert [r["n_removed"] for r in out if r["doc_id"] is not None] == [len(texts[0])]
+
+
+def test_frequent_anchors_are_dealt_out(spark, monkeypatch):
+    import parchment.llm.repeats as m
+
+    monkeypatch.setattr(m, "SAMPLE", 1)
+    monkeypatch.setattr(m, "OFTEN", 3)
+    docs = corpus(8, 80)
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert m.frequent_anchors(_keyed(rows)).count() > 0
+    want = {i: digest(*x) for (i, _), x in zip(docs, brute(docs), strict=True)}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats_report(rows, 3).collect()} == want
+
+
+def test_replaced_levels_are_deleted(spark):
+    import os
+
+    family = IndexFamily(spark)
+    docs = _keyed(spark.createDataFrame(corpus(9, 20), "doc_id long, text string"))
+    family.add(docs.filter("doc_id < 10"))
+    old = family.levels[0].removeprefix("file://")
+    assert os.path.isdir(old)
+    family.add(docs.filter("doc_id >= 10"))
+    assert not os.path.exists(old) and list(family.levels) == [1]

@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index of each shard's text, searched backwards for the windows of benchmark items.
 
-A shard is the documents of one Arrow batch. Its text is the sequence of its words as numbers: a word that no window
+A shard is some documents of an Arrow batch, of SHARD bytes or one. Its text is the sequence of its words as numbers: a word that no window
 has is the separator 0, as is the end of a document, and stretches between separators that are shorter than the
 shortest window are left out, since no window can occur in them. Windows are found by backward search through ranks
 of a wavelet matrix, their places by sampled suffix positions; overlapping and touching places merge into removal spans.
@@ -11,7 +11,8 @@ one pass over the documents each; with several blocks the passes' spans are merg
 
 Null and empty texts have no words and no hits. Items without words are left out; an item without id taints documents
 but is not counted among their items; rows of one item_id are one item. Repeated documents each give a row; rows that
-share doc_id and text are judged alike. Extra columns are not read. An empty benchmark leaves all documents clean.
+share doc_id and text are judged alike. Extra columns pass through filters and are not read. An empty benchmark leaves all
+documents clean. A very long text is searched whole.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .shared import ALNUM, LOWER, chunks, cut_spans, hashes, merged_spans, rolling, spans, stored, text_columns, utf8
+from .shared import ALNUM, LOWER, chunks, cut_spans, free_names, merged_spans, spans, stored, text_columns, utf8, word_hashes
 
 #: Words of a window.
 WINDOW = 10
 #: Words of the benchmark that one pass searches for.
 BLOCK_WORDS = 1 << 20
+#: Bytes of text in a shard; a longer text is one of its own.
+SHARD = 1 << 24
 SPANS = "array<struct<first:int,last:int,start:int,end:int>>"
 SCHEMA = f"doc_id long, tag long, n_words long, spans {SPANS}, items array<long>"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -54,7 +57,7 @@ def item_words(text: str | None) -> list[bytes]:
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b" ".join(words), np.uint8)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    return hashes(rolling(raw), np.concatenate([[0], ends[:-1] + 1]), ends)
+    return word_hashes(raw, np.concatenate([[0], ends[:-1] + 1]), ends)
 
 
 def make_block(items: list[tuple[int | None, list[bytes]]], window: int = WINDOW) -> Block:
@@ -128,7 +131,7 @@ def _shard(texts: pa.Array, block: Block, seen: np.ndarray):
     for i, j in chunks(offsets):
         part, at = LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         a, b = spans(part, at, ALNUM)
-        numbers.append(_numbers(hashes(rolling(part), a, b), block.words, seen).astype(np.int32))
+        numbers.append(_numbers(word_hashes(part, a, b), block.words, seen).astype(np.int32))
         row.append((np.searchsorted(at, a, "right") - 1 + i).astype(np.int32))
         begin.append(a + offsets[i])
         end.append(b + offsets[i])
@@ -145,10 +148,13 @@ def _shard(texts: pa.Array, block: Block, seen: np.ndarray):
     lasts = stop[np.searchsorted(stop, firsts, "right")] - 1
     word0 = np.searchsorted(row, np.arange(len(texts)))
     found: list[list[dict]] = [[] for _ in range(len(texts))]
-    points = lambda r, b: int(np.count_nonzero((raw[offsets[r] : b] & 0xC0) != 0x80))
-    for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
-        r = int(row[a])
-        found[r].append({"first": a - int(word0[r]), "last": b - int(word0[r]), "start": points(r, begin[a]), "end": points(r, end[b])})
+    hits = row[firsts]
+    for r in np.unique(hits).tolist():
+        of = slice(*np.searchsorted(hits, (r, r + 1)).tolist())
+        a, b, at = firsts[of], lasts[of], offsets[r]
+        before = np.cumsum(np.concatenate([[0], (raw[at : offsets[r + 1]] & 0xC0) != 0x80]), dtype=np.int32)  # code points before each byte of this text
+        bounds = (a - word0[r], b - word0[r], before[begin[a] - at], before[end[b] - at])
+        found[r] = [dict(zip(("first", "last", "start", "end"), x, strict=True)) for x in zip(*(x.tolist() for x in bounds), strict=True)]
     items: list[set] = [set() for _ in range(len(texts))]
     pairs = np.unique(np.stack([row[first].astype(np.int64), window]), axis=1) if len(first) else np.zeros((2, 0), np.int64)
     for r, w in zip(*pairs.tolist(), strict=True):
@@ -156,15 +162,29 @@ def _shard(texts: pa.Array, block: Block, seen: np.ndarray):
     return np.bincount(row, minlength=len(texts)), found, [sorted(x) for x in items]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, as many at a time as have SHARD bytes of text, or one."""
+    for batch in batches:
+        _, offsets = utf8(text_columns(batch, "text")[0])
+        for i, j in chunks(offsets, SHARD):
+            yield batch.slice(i, j - i)
+
+
+def _seen(block: Block) -> np.ndarray:
+    """For _numbers."""
+    seen = np.zeros(1 << 16, bool)
+    seen[(block.words >> np.uint64(48)).astype(np.int64)] = True
+    return seen
+
+
 def _search(docs: DataFrame, block: Block) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(block)
     span = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        seen = np.zeros(1 << 16, bool)
-        seen[(block.words >> np.uint64(48)).astype(np.int64)] = True
-        for batch in batches:
+        seen = _seen(block)
+        for batch in _slices(batches):
             ids, tag, texts = text_columns(batch, "doc_id", "tag", "text")
             n_words, found, items = _shard(texts, block, seen)
             yield pa.RecordBatch.from_arrays([ids, tag, pa.array(n_words, pa.int64()), pa.array(found, span), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "tag", "n_words", "spans", "items"])
@@ -207,14 +227,27 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without those that hold a window of an item."""
-    tainted = contaminated_spans(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    return docs.join(tainted, docs["doc_id"].eqNullSafe(tainted["_id"]) & (F.xxhash64(docs["text"]) == tainted["_tag"]), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without those that hold a window of an item. Rows are judged where they stand, by one block after the other."""
+    schema = docs.schema
+    for block in blocks(benchmark, window, block_words):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), schema)
+    return docs
+
+
+def _clean(held):
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
+        for batch in _slices(batches):
+            _, found, _ = _shard(text_columns(batch, "text")[0], block, _seen(block))
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+
+    return kept
 
 
 def with_spans_cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the removal spans cut from their texts, for those who would rather keep the rest of a document."""
-    found = contaminated_spans(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_tag"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_tag"]), "left")
-    return joined.withColumn("text", F.when(F.size("_spans") > 0, cut_spans(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))).select(*docs.columns)
+    of, tag, spans = free_names(docs, "of", "tag", "spans")
+    found = contaminated_spans(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias(of), F.col("tag").alias(tag), F.col("spans").alias(spans)).dropDuplicates([of, tag])
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[of]) & (F.xxhash64(docs["text"]) == found[tag]), "left")
+    return joined.withColumn("text", F.when(F.size(spans) > 0, cut_spans(F.col("text"), F.col(spans))).otherwise(F.col("text"))).select(*docs.columns)

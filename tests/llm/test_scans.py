@@ -17,7 +17,8 @@ def test_chats_read_back(spark):
     marks = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[TURN]", "<\\/s>", "[\\\\TURN]", "\\", "[", "ok", "\n", "é😀", ""]
     rows = [(c, t, rng.choice(["user", "assistant", "[ROLE]"]), "".join(rng.choice(marks) for _ in range(rng.randint(0, 6)))) for c in range(40) for t in range(rng.randint(1, 8))]
     rows += [(90, 0, None, None), (90, None, "user", "first"), (None, 1, "assistant", "x"), *SAMPLE]
-    got = {r["conv_id"]: r for r in chat.chat_digest(turns(spark, rows).withColumnRenamed("text", "text")).collect()}
+    rows += [(91, 1, "assistant", "again é"), (91, 1, "assistant", "again é"), (92, 1, "user", "long"), (92, 2, "assistant", "é</s>" * 200_000)]
+    got = {r["conv_id"]: r for r in chat.chat_digest(turns(spark, rows).selectExpr("*", "text mask", "role formatted", "turn turns")).collect()}
     by = {}
     for c, t, r, x in rows:
         by.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
@@ -28,6 +29,11 @@ def test_chats_read_back(spark):
         loss = "".join(x for _, _, r, x in of if r == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(of), hashlib.sha256(whole.encode()).hexdigest())
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    # the mask alone, cut from the formatted bytes, gives the trained texts
+    for r in chat.format_chats(turns(spark, rows)).collect():
+        raw = r["formatted"].encode()
+        cut = [re.sub(r"([<\[])\\(\\*)(/?s>|/?ROLE\]|TURN\]|/?INST\])", r"\1\2\3", raw[m["start"] : m["start"] + m["length"]].decode()) for m in r["mask"]]
+        assert cut == [x for _, _, role, x in by[r["conv_id"]] if role == "assistant"]
     plan = chat.chat_digest(turns(spark, rows))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert chat.chat_digest(turns(spark, [])).collect() == []
@@ -43,26 +49,74 @@ def test_licenses(spark):
     assert base[1] == (2, 1, 5, "mit") and base[4] == (1, 0, 0, "cc-by-nc") and base[5][0] == 0 and base[6] == base[7] == (0, None, None, "") and base[11] == (1, 50000, 50000, "mit")
     assert base[2][3] == "apache-2" and rows[2]["n_base"] == 1
     assert rows[3]["labels"] == "mit" and rows[3]["base_labels"] == "" and 0 < rows[3]["score"] < 1 and rows[8]["labels"] == "gpl"
-    assert rows[9]["labels"] == rows[10]["labels"] == "" and rows[6]["score"] == 0.0
+    assert rows[9]["labels"] == "" and rows[10]["labels"] == "cc-by-sa" and rows[6]["score"] == 0.0
     assert rows[3]["spans"][0]["errors"] >= 1 and rows[3]["n_words"] == 6
 
 
 def test_license_seeds_lose_nothing():
     """Searching only around seeds finds what searching the whole text finds."""
-    import regex
-
     rng = random.Random(1)
     scanner = licenses.Scanner()
-    for notice, _, pattern in scanner.notices:
-        for _ in range(300):
-            chars = list(notice.phrase)
+    for label, phrase, errors, _, pattern in scanner.notices:
+        for _ in range(100):
+            chars = list(phrase.decode())
             for _ in range(rng.randint(0, 3)):
                 k = rng.randrange(len(chars))
                 chars[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "e"])
             text = "some words " + "".join(chars) + " and more words after it"
             joined = b" " + b" ".join(text.encode().translate(licenses._CLEAN).split()) + b" "
-            whole = any(sum(m.fuzzy_counts) <= notice.errors for m in pattern.finditer(joined))
-            assert (notice.label in scanner.scan(text)[5].split(",")) >= whole or isinstance(pattern, regex.Pattern) and not whole
+            whole = any(sum(m.fuzzy_counts) <= errors for m in pattern.finditer(joined))
+            # a longer notice of another license may hold the place
+            assert not whole or label in scanner.scan(text)[5].split(",") or any(x[3] == 0 for x in scanner.scan(text)[7])
+
+
+def test_license_recall_on_edited_notices():
+    """Of notices with one edit in a word that may have one, in a text, nearly all are found; the rest are edits that make another word of two."""
+    rng = random.Random(5)
+    scanner = licenses.Scanner()
+    found = n = 0
+    for notice in licenses.NOTICES:
+        for _ in range(40):
+            parts = re.split("[{}]", notice.text)
+            k = rng.randrange(len(parts) // 2) * 2 + 1
+            word = parts[k]
+            at = rng.randrange(1, len(word) - 1)
+            parts[k] = word[:at] + rng.choice(["", "q", word[at] + "q"]) + word[at + 1 :]
+            n += 1
+            found += notice.label in scanner.scan(f"This file is {''.join(parts).upper()}, as it says.")[5].split(",")
+    assert found >= 0.95 * n
+    first, second = scanner.scan("gnu generl public license gnu general public license")[7]
+    assert (first[:4], second[:4]) == (("gpl", 0, 3, 1), ("gpl", 4, 7, 0))
+
+
+def plain_phrases(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found = []
+    for phrase, label in (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")):
+        p = phrase.split()
+        found += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+    starts = [i for i, _ in found]
+    return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_license_counts_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "É", "ö2", "x"]
+    whole = ["under the mit license", "Apache License, Version 2", "CC-BY-NC"]
+    texts = [" ".join(rng.choice(words if rng.random() < 0.8 else whole) + rng.choice(["", "", ".", "\n", "_"]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += [None, "", "cc by cc by nc by nc", "under the mit license" * 3, *texts[:3]]
+    docs = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)], "doc_id long, text string, labels string").repartition(3)
+    rows = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.license_scan(docs).collect()}
+    assert rows == {i: plain_phrases(t) for i, t in enumerate(texts)} and sum(r[1] for r in rows.values()) > 100
+    assert licenses.license_scan(docs.limit(0)).collect() == []
+
+
+def test_license_very_long_text():
+    import time
+
+    began = time.time()
+    row = licenses.Scanner().scan("under the mit license " * 200_000)
+    assert row[1] == 200_000 and row[3] == 4 * 199_999 and time.time() - began < 60
 
 
 def test_secrets_ledger(spark):
@@ -74,18 +128,100 @@ def test_secrets_ledger(spark):
     assert counts[1] == counts[8] == (1, 0, 0, "assign:0:25") and counts[2][0] == 1 and counts[3] == (0, 1, 0, "access:0:20")
     assert counts[4] == (0, 0, 1, "hex:2:34") and counts[5] == counts[6] == counts[7] == (0, 0, 0, "") and counts[9] == (1, 0, 1, "assign:0:38,hex:6:38")
     assert got[1]["base_sha256"] == hashlib.sha256(b"assign:0:25").hexdigest()
-    before = spark.read.parquet(ledger).count()
+    before = spark.read.parquet(f"{ledger}/blobs").count()
     more = docs.union(spark.createDataFrame([(20, "secret: abcdefgh12", "p")], docs.schema))
     again = {r["doc_id"]: r["spans"] for r in secrets.secret_digest(more, ledger).collect()}
-    assert spark.read.parquet(ledger).count() == before + 1 and again[20] == "assign:0:18" and again[1] == "assign:0:25"
+    assert spark.read.parquet(f"{ledger}/blobs").count() == before + 1 and again[20] == "assign:0:18" and again[1] == "assign:0:25"
     fewer = secrets.RULES[:2]
     secrets.secret_digest(docs, ledger, fewer).collect()
-    assert spark.read.parquet(ledger).select("rules").distinct().count() == 2
+    assert spark.read.parquet(f"{ledger}/blobs").select("rules").distinct().count() == 2
     clean = {r["doc_id"]: r for r in secrets.redact(docs.withColumnRenamed("blob", "source").selectExpr("*", "cast(length(text) as long) n_chars"), ledger).collect()}
     assert clean[1]["text"] == "[SECRET]" and clean[9]["text"] == "[SECRET]" and clean[4]["text"] == "é [SECRET]" and clean[6]["text"] is None and clean[1]["n_chars"] == 8
     assert secrets.secret_digest(docs.limit(0)).collect() == []
 
 
+def test_second_batch_scans_only_new_blobs(spark):
+    """Two batches of versions through one ledger: a blob is scanned once, and its findings reach every path and version."""
+    at = secrets.new_path(spark, "ledger")
+    versions = lambda rows: spark.createDataFrame(rows, "path long, version long, text string")
+    blobs = lambda: {(r["blob"], r["rules"]) for r in secrets.read_ledger(spark, at).collect()}
+    one = secrets.scan(versions([(1, 1, "password = aaaaaaaa1"), (2, 1, "clean"), (3, 1, "clean"), (None, 1, None), (4, 1, "")]), at)
+    first = blobs()
+    assert len(first) == secrets.read_ledger(spark, at).count() == 3
+    two = secrets.scan(versions([(1, 2, "clean"), (2, 2, "password = aaaaaaaa1"), (5, 1, "token: bbbbbbbb2"), (5, 1, "token: bbbbbbbb2")]), at)
+    assert len(blobs() - first) == 1 and secrets.read_ledger(spark, at).count() == 4
+    found = sorted((r["path"], r["version"], r["run"] == two) for r in secrets.path_findings(spark, at).filter("size(spans) > 0").collect())
+    assert found == [(1, 1, False), (2, 2, True), (5, 1, True), (5, 1, True)] and one != two
+    assert secrets.path_findings(spark, at).count() == 9
+
+
+def test_secret_batches_do_not_change_the_result(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["token=", "AKIA", "ABCDEF0123456789", "é", " ", "\n", "secret: ", "0a1b2c3d" * 4, "zzzzzzzzz", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts + texts[:30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(((i is None, i or 0), secrets.find_secrets(t)) for i, t in rows)
+    for n in (1, 2, 3):
+        got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), [(s["start"], s["kind"], s["end"]) for s in r["spans"]]) for r in secrets.secret_spans(docs, n_batches=n).collect())
+        assert got == want
+
+
+def test_redact_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "password = aaaaaaaa1", "p", "q", "r", "s")], "doc_id long, text string, blob string, spans string, merged string, maybe string")
+    assert [tuple(r) for r in secrets.redact(docs).collect()] == [(1, "[SECRET]", "p", "q", "r", "s")]
+
+
+def plain_secrets(text):
+    """By scanning from each place on, with no pattern of the library's."""
+    name = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value, upper, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    run = lambda i, of: next((j for j in range(i, len(text)) if text[j] not in of), len(text))
+    found = []
+    i = 0
+    while i < len(text):
+        word = next((w for w in name if "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[i : i + len(w)]) == w), None)
+        if word:
+            j = i + len(word)
+            j += text[j : j + 1] in ("'", '"') and bool(text[j : j + 1])
+            j = run(j, " ")
+            if text[j : j + 1] and text[j] in ":=":
+                j = run(j + 1, " ")
+                j += text[j : j + 1] in ("'", '"') and bool(text[j : j + 1])
+                end = run(j, value)
+                if end > j:
+                    if end - j >= 8:
+                        found.append((i, 0, end, "assign"))
+                    i = end
+                    continue
+        i += 1
+    for k, (kind, start, of, least) in enumerate((("access", "AKIA", upper, 16), ("hex", "", hexa, 32)), 1):
+        i = 0
+        while i < len(text):
+            end = run(i + len(start), of) if text.startswith(start, i) else i
+            if end > i + len(start):
+                if end - i >= least:
+                    found.append((i, k, end, kind))
+                i = end
+            else:
+                i += 1
+    return sorted(found)
+
+
+def test_secrets_against_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "apikey", '"', "'", " ", "  ", ":", "=", "abc", "A1b2C3d4", "+/_.=-", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef" * 5, "é", "😀", "\n", "ſecret", "K"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    rows = {r["doc_id"]: r for r in secrets.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n_batches=2).collect()}
+    n = 0
+    for i, t in enumerate(texts):
+        want = plain_secrets(t)
+        n += len(want)
+        base = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+        assert (rows[i]["n_assign"], rows[i]["n_access"], rows[i]["n_hex"]) == tuple(sum(x[1] == k for x in want) for k in range(3)), t
+        assert rows[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert n > 200
+
+
 def test_urls(spark):
     listed = ["http://www.bad.com/a.html", "https://bad.com/b?utm_x=1&q=2", None, "no url"] + [f"http://h{i}.com/p{i}" for i in range(3000)]
     urls_ = ["https://m.bad.com/a", "http://bad.com/b/?q=2#top", "http://bad.com/c", None, "junk", "HTTP://X.NET/q", "http://a.example.net/en/x", "http://example.com/de/", "http://notexample.com/de/", "http://wiki.org/fr/a", "http://org/frx", "http://h7.com/p7/"]
@@ -98,6 +234,13 @@ def test_urls(spark):
         assert len(rows) == len(urls_) + 2000 and not any(rows[100 + i]["listed"] for i in range(2000))
         assert all(r["maybe_listed"] for r in rows.values() if r["listed"]) and (blocks > 1 or sum(r["maybe_listed"] for r in rows.values()) > 1500)
     assert urls.judge_urls(pages.limit(0), pages.select("url")).collect() == []
+    assert {r["verdict"] for r in urls.judge_urls(pages.filter("page_id < 3"), pages.limit(0).select("url")).collect()} == {"allow"}
+    long = spark.createDataFrame([(1, "http://bad.com/" + "a/" * 500_000), (1, "http://bad.com/" + "a/" * 500_000), (None, "http://bad.com/b")], "page_id long, url string")
+    rows = urls.judge_urls(long, long.limit(2).select("url")).collect()
+    assert sorted((r["page_id"] or 0, r["verdict"], len(r["path"])) for r in rows) == [(0, "allow", 2), (1, "block", 1_000_001), (1, "block", 1_000_001)]
+    # only possible hits meet the join: no row of the others crosses a shuffle
+    plan = urls.judge_urls(pages, pages.select("url"))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
 
 
 def plain_counts(text):

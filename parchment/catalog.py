@@ -175,22 +175,19 @@ _TREE = f"(select (doc_id // 10)::varchar paper_id, {_PATH} path, case when doc_
 @query(rf"""
 with f as (select *, -100 * contains(text, '\documentclass')::int - 50 * contains(text, '\begin{{document}}')::int - 20 * (not contains(path, '/'))::int - 10 * (path = 'main.tex')::int + len(string_split(path, '/'))::int score
   from {_TREE} where not ends_with(path, '.sty'))
-select paper_id, path, score, doc_id from f qualify row_number() over (partition by paper_id order by score, path, doc_id) = 1""")
+select paper_id, path, score from f qualify row_number() over (partition by paper_id order by score, path) = 1""")
 def main_files(spark, sf_dir):
-    files = tree(spark, sf_dir)
-    # two documents may have one path here, which no tree has
-    once = distinct.first_of_key(files, F.concat("paper_id", F.lit(" "), "path"), [docs_.main_score(F.col("path"), F.col("text")), F.col("doc_id")])
-    return docs_.main_files(once).select("paper_id", "path", "score", "doc_id")
+    return docs_.main_paths(tree(spark, sf_dir))
 
 
 @query("""
-with l as (select conv_id * 1000 + turn pos, trim(case when turn % 2 = 0 then 'https://arxiv.org/abs/24' || lpad((conv_id % 12 + 1)::varchar, 2, '0') || '.00' || lpad((conv_id % 60)::varchar, 3, '0') else substr(text, 1, 12) end, ' ') line from conversations),
+with l as (select conv_id * 1000 + turn pos, trim(case when turn % 2 = 0 then 'https://arxiv.org/abs/24' || lpad((conv_id % 12 + 1)::varchar, 2, '0') || '.00' || lpad((conv_id % 60)::varchar, 3, '0') else replace(coalesce(text, ''), chr(10), ' ') end, ' ') line from conversations),
 k as (select *, coalesce(nullif(regexp_extract(line, '[0-9]{4}\\.[0-9]{5}'), ''), 'x' || line) k from l where line <> '')
 select pos, line from (select *, row_number() over (partition by k order by pos desc) n from k) where n = 1 order by pos desc limit 200""")
 def history(spark, sf_dir):
     c = F.col("conv_id")
     url = F.concat(F.lit("https://arxiv.org/abs/24"), F.lpad((c % 12 + 1).cast("string"), 2, "0"), F.lit(".00"), F.lpad((c % 60).cast("string"), 3, "0"))
-    line = F.when(F.col("turn") % 2 == 0, url).otherwise(F.substring("text", 1, 12))
+    line = F.when(F.col("turn") % 2 == 0, url).otherwise(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
     lines = table(spark, sf_dir, "conversations").select((c * 1000 + F.col("turn")).alias("pos"), line.alias("line"))
     return distinct.history(lines)
 
@@ -312,7 +309,7 @@ m as (select doc_id, line_no, line, sum(length(line) + 1) over (partition by doc
 select doc_id, line_no::int line_no, coalesce(o, 0)::bigint as "offset", (sum(opens::int - closes::int) over (partition by doc_id order by line_no) - opens::int)::int depth from m""")
 def conditional_depth(spark, sf_dir):
     lines = intervals.text_lines(sources(spark, sf_dir), ["doc_id"], "tex")
-    return intervals.conditional_depth(lines, ["doc_id"]).select("doc_id", "line_no", "offset", "depth")
+    return lines.select("doc_id", "line_no", "offset", "depth")
 
 
 @query(rf"""
@@ -437,7 +434,8 @@ with p as (select source, unnest(string_split(lang || ',' || upper(lang) || ','
 select source, array_to_string(list(x order by lower(x), x), ',') names from (select distinct source, x from p) group by source""")
 def names_sorted(spark, sf_dir):
     """Distinct names in order without regard to case."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.flatten(F.collect_list(F.array("lang", F.upper("lang"), "source"))).alias("x"))
+    named = table(spark, sf_dir, "documents").select("source", F.explode(F.array("lang", F.upper("lang"), "source")).alias("x"))
+    rows = named.dropna(subset=["x"]).distinct().groupBy("source").agg(F.collect_list("x").alias("x"))
     return rows.select("source", F.array_join(distinct.sorted_distinct(F.col("x")), ",").alias("names"))
 
 
@@ -450,7 +448,7 @@ def outputs_validated(spark, sf_dir):
     s = F.col("source")
     out = (
         F.when(n % 6 == 1, F.concat(s, F.lit("{"))).when(n % 6 == 2, F.replace(s, F.lit(r"a & b\\c & d \end{tabular}"), F.lit(r"a b\\c & d \end{tabbing}")))
-        .when(n % 6 == 3, F.replace(s, F.lit(r"\input"), F.lit(""))).when(n % 6 == 4, F.concat(s, F.lit("</NEXT_CONTEXT>"))).when(n % 6 == 5, F.replace(s, F.lit(r"\emph"), F.lit(""))).otherwise(s)
+        .when(n % 6 == 3, F.replace(s, F.lit(r"\input"), F.lit(""))).when(n % 6 == 4, F.concat(s, F.lit("</TEXT_AFTER>"))).when(n % 6 == 5, F.replace(s, F.lit(r"\emph"), F.lit(""))).otherwise(s)
     )
     told = gate.validated(rows.withColumn("output", out))
     named = F.array_join(F.transform("violations", lambda v: F.when(v == "echoed block name", "echo").otherwise(v)), ",")

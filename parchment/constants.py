@@ -1,4 +1,4 @@
-"""Fixed values that results depend on."""
+"""Fixed values that results depend on. The order within a list is free unless its comment says otherwise."""
 
 #: Suffixes of documents and of style files.
 DOCUMENT_SUFFIXES = (".tex", ".ltx")
@@ -8,8 +8,8 @@ VERBATIM = ("alltt", "filecontents", "filecontents*", "lstlisting", "minted", "V
 #: Commands that are kept whole, with the number of their arguments.
 BOXES = {"fbox": 1, "framebox": 1, "makebox": 1, "colorbox": 2, "fcolorbox": 3, "parbox": 2, "tcbox": 1}
 GLOSSARY = ("term", "gls", "Gls", "glspl", "Glspl", "acrshort", "Acrshort", "acrfull", "Acrfull", "acrshortpl", "Acrshortpl")
-#: What stands for a kept stretch, by its number.
-PLACEHOLDER = r"\AXTProtectedTextBox"
+#: Of the library's own choice: what stands for a kept stretch, by its number.
+PLACEHOLDER = r"\ParchmentKept"
 #: Names of main files, and stems of files that hold macros.
 MAIN_NAMES = ("main.tex", "paper.tex", "ms.tex", "article.tex")
 MACRO_STEMS = ("macro", "macros", "command", "commands", "preamble")
@@ -31,8 +31,8 @@ TEXT_STYLE = (
     "bf", "em", "emph", "it", "md", "rm", "sc", "sf", "sl", "textbf", "textit", "textmd", "textnormal", "textrm", "textsc",
     "textsf", "textsl", "texttt", "textup", "tt", "underline", "up",
 )
-#: Names of the blocks of a request, which no answer may hold.
-REQUEST_BLOCKS = ("CURRENT_FRAGMENT", "PREVIOUS_CONTEXT", "NEXT_CONTEXT", "PAPER_TRANSLATION_GUIDE")
+#: Of the library's own choice: names of the blocks of a request, which no answer may hold.
+REQUEST_BLOCKS = ("TEXT_TO_TRANSLATE", "TEXT_BEFORE", "TEXT_AFTER", "GUIDE_OF_PAPER")
 GRAPHICS_DRIVERS = (
     "dvipdf", "dvipdfm", "dvipdfmx", "dvips", "dvipsone", "dviwin", "emtex", "luatex", "pctex32", "pctexhp", "pctexps",
     "pdftex", "textures", "truetex", "vtex", "xetex",
@@ -46,7 +46,7 @@ SWITCHES = (
 NUMERIC_STYLES = ("plain", "unsrt", "abbrv", "ieeetr", "IEEEtran")
 #: Characters of Chinese text, as in a character class.
 CJK = r"\u3400-\u9fff"
-#: Terms with a fixed translation, and terms that stay in English.
+#: Terms with a fixed translation, and terms that stay in English; of two that begin at one place the earlier counts.
 PREFERRED_TRANSLATIONS = (("mechanistic interpretability", "机制可解释性"), ("representation", "表示，表征"))
 PRESERVED_TERMS = (
     "token", "scaling law", "prompt", "in-context learning", "zero-shot", "few-shot", "chain-of-thought", "RLHF", "DPO",

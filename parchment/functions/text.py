@@ -6,6 +6,8 @@ repeats or lazy dots, and hold for lines of any length. `(?d)` makes only \n end
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,17 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """Of an array: what combine (associative) makes of the first values up to each one. In blocks, so that the work grows little faster than the array."""
+    last = lambda xs: F.element_at(xs, -1)
+    scan = lambda xs: F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 1, 1), lambda out, x: F.concat(out, F.array(combine(last(out), x))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda k: scan(F.slice(values, k * block + 1, block)))
+    carried = lambda bs, carry: F.flatten(F.transform(bs, lambda xs, k: F.when(k == 0, xs).otherwise(F.transform(xs, lambda x: combine(F.get(carry, k - 1), x)))))
+    # arrays of one bind what is used more than once
+    whole = F.get(F.transform(F.array(blocks), lambda bs: F.get(F.transform(F.array(scan(F.transform(bs, last))), lambda carry: carried(bs, carry)), F.lit(0))), F.lit(0))
+    return F.when(F.size(values) > block, whole).when(F.size(values) > 0, scan(values)).otherwise(values)
+
+
 def ascii_letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
 
@@ -61,18 +74,19 @@ def without_comments(text: Column) -> Column:
     return F.regexp_replace(marked, "[ \t]*\x00", "")
 
 
-def unescaped_count(text: Column, character: str) -> Column:
-    return F.regexp_count(visible(text), F.lit(r"(?<!\\)(?:\\\\)*+" + character))
+def unescaped_count(text: Column, character: str, seen: Column | None = None) -> Column:
+    """Comments left out; seen: what visible() gives for text, where the caller has it."""
+    return F.regexp_count(visible(text) if seen is None else seen, F.lit(r"(?<!\\)(?:\\\\)*+" + character))
 
 
-def commands(text: Column) -> Column:
+def commands(text: Column, seen: Column | None = None) -> Column:
     """Names of all commands in order, comments left out."""
-    return F.regexp_extract_all(visible(text), F.lit(r"(?<!\\)\\([A-Za-z@]+)"), F.lit(1))
+    return F.regexp_extract_all(visible(text) if seen is None else seen, F.lit(r"(?<!\\)\\([A-Za-z@]+)"), F.lit(1))
 
 
-def environment_bounds(text: Column) -> Column:
+def environment_bounds(text: Column, seen: Column | None = None) -> Column:
     """`begin name` and `end name` in order, comments left out."""
-    found = F.regexp_extract_all(visible(text), F.lit(r"\\(?:begin|end)\{[^{}\n]+\}"), F.lit(0))
+    found = F.regexp_extract_all(visible(text) if seen is None else seen, F.lit(r"\\(?:begin|end)\{[^{}\n]+\}"), F.lit(0))
     return F.transform(found, lambda x: F.regexp_replace(x, r"^\\(begin|end)\{(.*)\}$", "$1 $2"))
 
 
@@ -100,12 +114,17 @@ def missing_braces(line: Column) -> Column:
 def braces_balanced(text: Column) -> Column:
     """Whether grouping braces match; escaped ones and comments do not count."""
     inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?<!\\)((?:\\\\)*+)%[^\r\n]*", "$1"), r"(?s)\\.", ""), r"[^{}]+", "")
-    steps = F.aggregate(
-        F.filter(F.split(inner, ""), lambda c: c != ""),
+    # pairs go, the inner ones first; what is left after some rounds is walked
+    for _ in range(6):
+        inner = F.replace(inner, F.lit("{}"), F.lit(""))
+    steps = lambda rest: F.aggregate(
+        F.filter(F.split(rest, ""), lambda c: c != ""),
         F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")),
         lambda s, c: F.struct((s["d"] + F.when(c == "{", 1).otherwise(-1)).alias("d"), F.least(s["low"], s["d"] + F.when(c == "{", 1).otherwise(-1)).alias("low")),
+        lambda s: (s["d"] == 0) & (s["low"] == 0),
     )
-    return (steps["d"] == 0) & (steps["low"] == 0)
+    # an array of one binds what is left, so that it is computed once
+    return F.get(F.transform(F.array(inner), lambda rest: F.when(rest == "", True).otherwise(steps(rest))), F.lit(0))
 
 
 def plain_quotes(text: Column) -> Column:
@@ -120,7 +139,7 @@ def spaced_commands(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<!\\)\\([A-Za-z@]+)(?=[{CJK}])", r"\\$1 ")
 
 
-def identifiers_unescaped(text: Column, rounds: int = 16) -> Column:
+def identifiers_unescaped(text: Column) -> Column:
     r"""`\_` in identifiers as `_`: the parts around identifier commands are taken apart, mended and joined again."""
     command = r"\\(?:" + "|".join(IDENTIFIER_COMMANDS) + r")\*?(?:\[[^\[\]{}]*\])*\{[^{}]*\}"
     found = F.regexp_extract_all(text, F.lit(f"({command})"), F.lit(1))

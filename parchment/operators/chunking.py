@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_CHARS, CONTEXT_CHARS
 from ..functions.scan import chunks_udf, restore_udf
-from ..functions.text import is_appendix_path, spaced_commands
+from ..functions.text import is_appendix_path, running, spaced_commands
 from .distinct import ordered_concat
 
 
@@ -28,11 +28,17 @@ def paragraphs(text: Column, separator: str = r"\n") -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(f"(?s)(.*?(?:{separator}|\\z))"), F.lit(1)), lambda x: x != "")
 
 
+def offsets(parts: Column, gap: int = 0) -> Column:
+    """Where each part begins in the text that they make up, with gap characters between them."""
+    ends = running(F.transform(parts, lambda x: F.length(x).cast("long") + gap), lambda a, b: a + b)
+    return F.slice(F.concat(F.array(F.lit(0).cast("long")), ends), F.lit(1), F.size(parts))
+
+
 def chunk_rows(files: DataFrame, keys: list[str], chunks: Column) -> DataFrame:
-    """One row per chunk: keys, idx, chunk, offset in the text that the chunks make up, length."""
-    rows = files.select(*keys, F.posexplode(chunks).alias("idx", "chunk")).withColumn("length", F.length("chunk").cast("long"))
-    w = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long"))
+    """One row per chunk: keys, idx, chunk, offset in the text that the chunks make up, length. A row's own array tells the offsets: no shuffle."""
+    parts = files.select(*keys, chunks.alias("_chunks")).withColumn("_at", offsets(F.col("_chunks")))
+    rows = parts.select(*keys, F.posexplode(F.arrays_zip("_chunks", "_at")).alias("idx", "_c"))
+    return rows.select(*keys, "idx", F.col("_c._chunks").alias("chunk"), F.col("_c._at").alias("offset"), F.length("_c._chunks").cast("long").alias("length"))
 
 
 def with_context(text: Column, offset: Column, length: Column, size: int = CONTEXT_CHARS) -> tuple[Column, Column]:
@@ -41,10 +47,13 @@ def with_context(text: Column, offset: Column, length: Column, size: int = CONTE
     return F.substring(text, (start + 1).cast("int"), (offset - start).cast("int")), F.substring(text, (offset + length + 1).cast("int"), F.lit(size))
 
 
+def route_at(begins: Column, offset: Column, length: Column, appendix_file: Column) -> Column:
+    r"""`appendix` for chunks of appendix files, and for those that reach beyond the first \appendix, which begins at a character counted from 1, or 0."""
+    return F.when(appendix_file | ((begins > 0) & (offset + length > begins - 1)), "appendix").otherwise("main")
+
+
 def route(text: Column, offset: Column, length: Column, appendix_file: Column) -> Column:
-    r"""`appendix` for chunks of appendix files, and for those that reach beyond the first \appendix."""
-    at = F.instr(text, r"\appendix")
-    return F.when(appendix_file | ((at > 0) & (offset + length > at - 1)), "appendix").otherwise("main")
+    return route_at(F.instr(text, r"\appendix"), offset, length, appendix_file)
 
 
 def included_paths(files: DataFrame) -> DataFrame:
@@ -72,20 +81,20 @@ def _resolved(path: Column) -> Column:
 def work_items(files: DataFrame, limit: int = CHUNK_CHARS, context: int = CONTEXT_CHARS) -> DataFrame:
     """files: paper_id, path, text (protected). Returns a row per chunk: paper_id, path, idx, offset, length, chunk, ctx_before, ctx_after, route.
 
-    The text stays beside its chunks for the contexts, so a file is exploded but not joined to itself.
+    Offsets, contexts and routes are found in the file's own row, so that a chunk's row carries no more than these.
     """
     appendix = included_paths(files).withColumn("_included", F.lit(True))
     told = files.join(appendix, ["paper_id", "path"], "left").withColumn("_appendix", F.coalesce("_included", F.lit(False)) | is_appendix_path(F.split("path", "/")))
-    parts = told.withColumn("_chunks", chunks_udf(F.col("text"), F.lit(limit)))
-    # a chunk's offset is the length of those before it in its own row's array: no shuffle
-    sizes = F.transform("_chunks", lambda c: F.length(c).cast("long"))
-    rows = parts.withColumn("_sizes", sizes).select("paper_id", "path", "text", "_appendix", "_sizes", F.posexplode("_chunks").alias("idx", "chunk"))
-    rows = rows.withColumn("offset", F.aggregate(F.slice("_sizes", F.lit(1), F.col("idx")), F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("length", F.length("chunk").cast("long"))
-    before, after = with_context(F.col("text"), F.col("offset"), F.col("length"), context)
-    return rows.select(
-        "paper_id", "path", "idx", "offset", "length", "chunk", before.alias("ctx_before"), after.alias("ctx_after"),
-        route(F.col("text"), F.col("offset"), F.col("length"), F.col("_appendix")).alias("route"),
-    )
+    parts = told.withColumn("_chunks", chunks_udf(F.col("text"), F.lit(limit))).withColumn("_at", offsets(F.col("_chunks"))).withColumn("_begins", F.instr("text", r"\appendix"))
+    text, at = F.col("text"), lambda i: F.get("_at", i)
+
+    def item(chunk: Column, i: Column) -> Column:
+        length = F.length(chunk).cast("long")
+        before, after = with_context(text, at(i), length, context)
+        way = route_at(F.col("_begins"), at(i), length, F.col("_appendix"))
+        return F.struct(i.alias("idx"), at(i).alias("offset"), length.alias("length"), chunk.alias("chunk"), before.alias("ctx_before"), after.alias("ctx_after"), way.alias("route"))
+
+    return parts.select("paper_id", "path", F.explode(F.transform("_chunks", item)).alias("_item")).select("paper_id", "path", "_item.*")
 
 
 def reassemble(results: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DOCUMENT_SUFFIXES, MAIN_NAMES
@@ -28,11 +28,16 @@ def main_score(path: Column, text: Column) -> Column:
     )
 
 
+def main_paths(files: DataFrame) -> DataFrame:
+    """files: paper_id, path, text. paper_id, path, score of the likeliest main document of each paper, ties by path. No text crosses the shuffle."""
+    docs = files.filter(suffix(F.col("path")).isin(*DOCUMENT_SUFFIXES))
+    scored = docs.select("paper_id", F.struct(main_score(F.col("path"), F.col("text")).cast("int").alias("score"), "path").alias("_k"))
+    return scored.groupBy("paper_id").agg(F.min("_k").alias("_k")).select("paper_id", "_k.path", "_k.score")
+
+
 def main_files(files: DataFrame) -> DataFrame:
-    """files: paper_id, path, text. The likeliest main document of each paper, ties by path; adds score."""
-    docs = files.filter(suffix(F.col("path")).isin(*DOCUMENT_SUFFIXES)).withColumn("score", main_score(F.col("path"), F.col("text")).cast("int"))
-    w = Window.partitionBy("paper_id").orderBy("score", "path")
-    return docs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The rows of main_paths with all columns of files; adds score."""
+    return files.join(main_paths(files), ["paper_id", "path"]).dropDuplicates(["paper_id", "path"]).select(*files.columns, "score")
 
 
 def clean_files(files: DataFrame) -> DataFrame:

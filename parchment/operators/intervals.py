@@ -1,18 +1,23 @@
-"""Spans and running states, by windows."""
+"""Spans and running states: by windows over rows, within arrays for what one text holds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import running
+from .chunking import offsets
+
 
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """spans: keys, start, end (exclusive). Spans that overlap or touch are one; null bounds are left out."""
     before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")
+    # of spans that begin together the longest tells all: it is found before the shuffle
+    longest = spans.dropna(subset=["start", "end"]).groupBy(*keys, "start").agg(F.max("end").alias("end"))
     return (
-        spans.dropna(subset=["start", "end"]).withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(running))
+        longest.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(running))
         .groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
     )
 
@@ -21,24 +26,27 @@ def in_spans(position: Column, spans: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] <= position) & (position < s["end"]))
 
 
-def text_lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    r"""keys, line_no from 0, offset of the line's first character, line without its \n."""
-    rows = files.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long"))
+_OPENS, _CLOSES = r"^\s*\\if[A-Za-z@]*(?=\s|\\|$)", r"^\s*\\fi(?![A-Za-z])"
 
 
-def conditional_depth(lines: DataFrame, keys: list[str]) -> DataFrame:
-    r"""Adds depth: how many \if... are open at each line, never below 0; a line of \fi counts as outside, one of \if as well.
+def depths(lines: Column) -> Column:
+    r"""How many \if... are open at each line of an array, never below 0; a line of \fi counts as outside, one of \if as well.
 
     The walk that stops at 0 is the running sum less its running minimum (0 at most).
     """
-    closes = F.when(F.rlike("line", F.lit(r"^\s*\\fi(?![A-Za-z])")), -1).otherwise(0)
-    opens = F.when(F.rlike("line", F.lit(r"^\s*\\if[A-Za-z@]*(?=\s|\\|$)")), 1).otherwise(0)
-    events = lines.withColumn("_event", F.explode(F.array(F.struct(F.lit(0).alias("o"), closes.alias("step")), F.struct(F.lit(1).alias("o"), opens.alias("step")))))
-    order = Window.partitionBy(*keys).orderBy("line_no", "_event.o").rowsBetween(Window.unboundedPreceding, 0)
-    walked = events.withColumn("_sum", F.sum("_event.step").over(order)).withColumn("_low", F.least(F.lit(0), F.min("_sum").over(order)))
-    return walked.filter("_event.o = 0").withColumn("depth", (F.col("_sum") - F.col("_low")).cast("int")).drop("_event", "_sum", "_low")
+    steps = F.flatten(F.transform(lines, lambda x: F.array(F.when(F.rlike(x, F.lit(_CLOSES)), -1).otherwise(0), F.when(F.rlike(x, F.lit(_OPENS)), 1).otherwise(0))))
+    # arrays of one bind what is used more than once
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    walk = lambda sums: bound(running(sums, F.least), lambda low: F.transform(lines, lambda x, i: F.get(sums, 2 * i) - F.least(F.lit(0), F.get(low, 2 * i))))
+    return F.when(F.exists(lines, lambda x: F.rlike(x, F.lit(_OPENS))), bound(running(steps, lambda a, b: a + b), walk)).otherwise(F.transform(lines, lambda x: F.lit(0)))
+
+
+def text_lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    r"""keys, line_no from 0, offset of the line's first character, line without its \n, depth as of depths(). A text's own row tells them: no shuffle."""
+    split = files.select(*keys, F.split(text, "\n", -1).alias("_lines"))
+    told = split.withColumn("_at", offsets(F.col("_lines"), 1)).withColumn("_depth", depths(F.col("_lines")))
+    rows = told.select(*keys, F.posexplode(F.arrays_zip("_lines", "_at", "_depth")).alias("line_no", "_l"))
+    return rows.select(*keys, "line_no", F.col("_l._at").alias("offset"), F.col("_l._lines").alias("line"), F.col("_l._depth").alias("depth"))
 
 
 def next_nonblank(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import PRESERVED_TERMS
+from ..constants import PLACEHOLDER, PRESERVED_TERMS
 from ..functions.text import (
     braces_balanced,
     commands,
@@ -19,6 +21,7 @@ from ..functions.text import (
     spaced_commands,
     structural,
     unescaped_count,
+    visible,
 )
 
 
@@ -32,7 +35,7 @@ def named(names: Column) -> Column:
 
 
 def _placeholders(text: Column) -> Column:
-    return F.array_sort(F.regexp_extract_all(text, F.lit(r"\\AXTProtectedTextBox\s*\{\s*(\d+)\s*\}"), F.lit(1)))
+    return F.array_sort(F.regexp_extract_all(text, F.lit(re.escape(PLACEHOLDER) + r"\s*\{\s*(\d+)\s*\}"), F.lit(1)))
 
 
 def validated(rows: DataFrame, source: str = "source", output: str = "output", terms=PRESERVED_TERMS) -> DataFrame:
@@ -44,12 +47,18 @@ def validated(rows: DataFrame, source: str = "source", output: str = "output", t
     """
     rows = rows.withColumn(output, normalized_output(F.col(output)))
     s, o = F.col(source), F.col(output)
-    a, b = commands(s), commands(o)
-    rows = rows.withColumn("_a", a).withColumn("_b", b)
-    kept_a, kept_b = structural(F.col("_a")), structural(F.col("_b"))
+    # a column for each step: an expression that uses another one twice would compute it twice
+    rows = rows.withColumn("_s", visible(s)).withColumn("_o", visible(o))
+    rows = rows.withColumn("_a", commands(s, F.col("_s"))).withColumn("_b", commands(o, F.col("_o")))
+    rows = rows.withColumn("_same", F.array_sort("_a") == F.array_sort("_b"))
+    rows = rows.withColumn("_ka", structural(F.col("_a"))).withColumn("_kb", structural(F.col("_b")))
+    # of equal multisets, the usual case, nothing is missing and nothing added
+    none = F.slice("_a", 1, 0)
+    rows = rows.withColumn("_kept", F.col("_same") | (F.array_sort("_ka") == F.array_sort("_kb")))
     told = (
-        rows.withColumn("missing", multiset_difference(kept_a, kept_b)).withColumn("added", multiset_difference(kept_b, kept_a))
-        .withColumn("style_changed", (s != "") & (F.array_sort("_a") != F.array_sort("_b")) & (F.array_sort(kept_a) == F.array_sort(kept_b)))
+        rows.withColumn("missing", F.when(F.col("_kept"), none).otherwise(multiset_difference(F.col("_ka"), F.col("_kb"))))
+        .withColumn("added", F.when(F.col("_kept"), none).otherwise(multiset_difference(F.col("_kb"), F.col("_ka"))))
+        .withColumn("style_changed", (s != "") & ~F.col("_same") & F.col("_kept"))
     )
     some = s != ""
     told = told.withColumn(
@@ -58,14 +67,13 @@ def validated(rows: DataFrame, source: str = "source", output: str = "output", t
             F.array(
                 protocol_violation(o),
                 F.when(~braces_balanced(o) & (~some | braces_balanced(s)), "braces"),
-                F.when(some & (environment_bounds(s) != environment_bounds(o)), "environments"),
-                F.when(some & ((F.size("missing") > 0) | (F.size("added") > 0)), "commands"),
-                F.when(some & (unescaped_count(s, "&") != unescaped_count(o, "&")), "alignment"),
+                F.when(some & (environment_bounds(s, F.col("_s")) != environment_bounds(o, F.col("_o"))), "environments"),
+                F.when(some & ~F.col("_kept"), "commands"),
+                F.when(some & (unescaped_count(s, "&", F.col("_s")) != unescaped_count(o, "&", F.col("_o"))), "alignment"),
                 F.when(some & (_placeholders(s) != _placeholders(o)), "placeholders"),
             )
         ),
-    )
-    # a column for each step: an expression that uses another one twice would compute it twice
+    ).drop("_s", "_o", "_same", "_ka", "_kb", "_kept")
     told = told.withColumn("_a", prose(s, terms)).withColumn("_b", prose(o, terms))
     told = told.withColumn("_a", english_words(F.col("_a"))).withColumn("_b", english_words(F.col("_b")))
     return told.withColumn("untranslated", F.when((F.col("_a") != "") & (F.col("_b") != ""), F.substring("_b", 1, 160)).otherwise("")).drop("_a", "_b")

@@ -103,9 +103,9 @@ def request(terms=PRESERVED_TERMS, pairs=PREFERRED_TRANSLATIONS) -> Column:
     """The request for a row with chunk, ctx_before, ctx_after, guide and feedback."""
     block = lambda name, c: F.concat(F.lit(f"<{name}>\n"), F.coalesce(F.col(c), F.lit("")), F.lit(f"\n</{name}>\n\n"))
     return F.concat(
-        F.when(F.col("feedback") == "", "").otherwise(F.concat(F.lit("Your last answer was rejected: "), "feedback", F.lit("\nReturn raw LaTeX alone, with every command of <CURRENT_FRAGMENT> and no others.\n\n"))),
-        F.lit(f"Translate <CURRENT_FRAGMENT> into Simplified Chinese; the other blocks are for reference. Fixed translations: {preferred_prompt(pairs)}. Keep in English: {preserved_prompt(terms)}.\n\n"),
-        block("PAPER_TRANSLATION_GUIDE", "guide"), block("PREVIOUS_CONTEXT", "ctx_before"), block("NEXT_CONTEXT", "ctx_after"), block("CURRENT_FRAGMENT", "chunk"),
+        F.when(F.col("feedback") == "", "").otherwise(F.concat(F.lit("Your last answer was rejected: "), "feedback", F.lit("\nReturn raw LaTeX alone, with every command of <TEXT_TO_TRANSLATE> and no others.\n\n"))),
+        F.lit(f"Translate <TEXT_TO_TRANSLATE> into Simplified Chinese; the other blocks are for reference. Fixed translations: {preferred_prompt(pairs)}. Keep in English: {preserved_prompt(terms)}.\n\n"),
+        block("GUIDE_OF_PAPER", "guide"), block("TEXT_BEFORE", "ctx_before"), block("TEXT_AFTER", "ctx_after"), block("TEXT_TO_TRANSLATE", "chunk"),
     )
 
 

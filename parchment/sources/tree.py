@@ -56,6 +56,7 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", decoded(F.col("content"))).drop("content")
 
 
-def write_texts(files: DataFrame, at: str) -> None:
-    """files: paper_id, path, text. As Parquet, dealt by paper; nothing is rewritten in place."""
-    files.repartition("paper_id").sortWithinPartitions("paper_id", "path").write.partitionBy("paper_id").parquet(at)
+def write_texts(files: DataFrame, at: str, buckets: int = 256) -> None:
+    """files: paper_id, path, text. As Parquet in a fixed number of folders, each paper in one of them, in order; nothing is rewritten in place."""
+    dealt = files.select("paper_id", "path", "text").withColumn("bucket", F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", "paper_id", "path").write.partitionBy("bucket").parquet(at)

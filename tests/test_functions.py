@@ -37,7 +37,7 @@ CASES = [
     (text.braces_balanced, "% {", True),
     (text.missing_braces, "\\title{a {b} \\{", 1),
     (text.protocol_violation, " ```latex", "markdown fence"),
-    (text.protocol_violation, "\\begin{NEXT_CONTEXT}", "echoed block name"),
+    (text.protocol_violation, "\\begin{TEXT_AFTER}", "echoed block name"),
     (text.protocol_violation, "a ` b", "TeX quotation mark"),
     (text.protocol_violation, "fine", None),
     (text.collapsed, "  a \n　b\t", "a b"),
@@ -89,8 +89,8 @@ def test_comments_and_code():
 
 def test_protection():
     got = scan.protect("x \\fbox{a{b}} y \\gls{k} \\parbox[t]{1}{\\{}z")
-    assert got == {"text": "x \\AXTProtectedTextBox{0} y \\AXTProtectedTextBox{1} \\AXTProtectedTextBox{2}z", "blocks": ["\\fbox{a{b}}", "\\gls{k}", "\\parbox[t]{1}{\\{}"]}
-    assert scan.restore("\\AXTProtectedTextBox{7}", ["a", "b"]) == "\\AXTProtectedTextBox{7}"
+    assert got == {"text": "x \\ParchmentKept{0} y \\ParchmentKept{1} \\ParchmentKept{2}z", "blocks": ["\\fbox{a{b}}", "\\gls{k}", "\\parbox[t]{1}{\\{}"]}
+    assert scan.restore("\\ParchmentKept{7}", ["a", "b"]) == "\\ParchmentKept{7}"
     assert scan.protect("\\fbox{a} \\fbox{b")["blocks"] == ["\\fbox{a}"] and scan.protect("\\fbox{a}\\gls{b}")["blocks"] == ["\\fbox{a}\\gls{b}"]
 
 

@@ -24,7 +24,7 @@ def test_spans(spark):
 def test_conditional_depth(spark):
     text = "\\fi\n\\iftrue x\n\\ifx\ny\n\\fi z\n\\fill\n\\fi\nend"
     lines = intervals.text_lines(spark.createDataFrame([(1, text)], "k int, text string"), ["k"])
-    got = [r["depth"] for r in intervals.conditional_depth(lines, ["k"]).orderBy("line_no").collect()]
+    got = [r["depth"] for r in lines.orderBy("line_no").collect()]
     assert got == [0, 0, 1, 2, 1, 1, 0, 0]
 
 
@@ -65,7 +65,7 @@ def test_sorted_distinct(spark):
 GATE = [
     ("{a}", "{a}", []), ("{a}", "{a", ["braces"]), ("{a", "{b", []), ("\\begin{a}\\end{a}", "\\end{a}\\begin{a}", ["environments"]),
     ("\\textbf \\alpha", "\\alpha", []), ("\\textbf \\alpha", "\\textbf", ["commands"]), ("a&b\\&c", "甲&乙\\&丙", []), ("a&b\\&c", "甲 乙\\&丙", ["alignment"]),
-    ("", "{", ["braces"]), ("\\AXTProtectedTextBox{0}\\AXTProtectedTextBox{1}", "\\AXTProtectedTextBox{0}\\AXTProtectedTextBox{0}", ["placeholders"]), ("x", "```x", ['TeX quotation mark']),
+    ("", "{", ["braces"]), ("\\ParchmentKept{0}\\ParchmentKept{1}", "\\ParchmentKept{0}\\ParchmentKept{0}", ["placeholders"]), ("x", "```x", ['TeX quotation mark']),
 ]
 
 

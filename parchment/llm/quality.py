@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, chunks, mixed, spans, text_columns, utf8, word_hashes
+from .shared import PLAIN, chunks, mixed, slices, spans, text_columns, utf8, word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_ROWS = 1500
@@ -220,10 +220,9 @@ def score(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     """One row of counts and verdicts for each row of docs (doc_id, text); SCHEMA has the columns."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = text_columns(batch, "doc_id", "text")
-            if len(texts):
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _judged(texts, model, keep_at))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _judged(texts, model, keep_at))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(scored, SCHEMA)
 
@@ -233,9 +232,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     model = train(docs, labels, max_rows)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_judged(text_columns(batch, "text")[0], model, keep_at)[6]))
+        for batch in slices(batches):
+            yield batch.filter(pa.array(_judged(text_columns(batch, "text")[0], model, keep_at)[6]))
 
     return docs.mapInArrow(kept, docs.schema)
 

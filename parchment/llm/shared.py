@@ -19,7 +19,7 @@ ALNUM = np.array([b >= 0x80 or chr(b).isalnum() and not chr(b).isupper() for b i
 #: A-Z to a-z, all else unchanged.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: Bytes of text that numpy handles at a time; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +112,13 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, some at a time, so that what a worker makes of them stays small; no empty batch."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def text_columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(x)) for x in names]
 

@@ -17,7 +17,7 @@ from .operators import documents as docs_
 from .operators import validate as gate
 from .plans import guide as guides_
 from .plans import translate as plan
-from .rules import compat, document
+from .rules import compat
 from .sources import archives, metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,14 +475,6 @@ def compatibility(spark, sf_dir):
     return compat.make_compatible(files).select("paper_id", "path", "changed", F.md5("text").alias("text_md5"))
 
 
-@query()
-def titles_carried(spark, sf_dir):
-    rows = sources(spark, sf_dir)
-    titled = F.replace(F.col("tex"), F.lit(r"\begin{document}"), F.concat(F.lit("\\title{On "), "source", F.lit("}\n\\begin{document}\\maketitle")))
-    done = document.fix_date_udf(document.carry_titles_udf(F.col("tex"), titled, F.col("source"), F.col("doc_id").cast("string")))
-    return rows.select("doc_id", F.md5(done).alias("text_md5"), document.pdf_title_udf(done).alias("pdf_title"))
-
-
 @query()
 def translation(spark, sf_dir):
     """Whole papers through cleaning, chunks, the cache, the dictionary translator, the gate and reassembly."""

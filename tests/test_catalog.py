@@ -40,7 +40,7 @@ def test_equals_sql(spark, duck, name):
     assert sorted(repr(plain(tuple(r[c] for c in order))) for r in df.collect()) == sorted(repr(plain(tuple(r[i] for i in at))) for r in found.fetchall())
 
 
-@pytest.mark.parametrize(("name", "n"), [("sources_cleaned", 150), ("compatibility", 200), ("titles_carried", 200), ("guides", 20)])
+@pytest.mark.parametrize(("name", "n"), [("sources_cleaned", 150), ("compatibility", 200), ("guides", 20)])
 def test_row_counts(spark, name, n):
     rows = entry.queries()[name](spark, DATA).collect()
     assert len(rows) == n

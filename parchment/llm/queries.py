@@ -82,7 +82,27 @@ _QUERY = r"regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*\?([^#]*)
 
 _WORDS = f"list_filter(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
+_EITHER = lambda w: "".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in w)
+#: Kind, pattern, group, least length.
+_SECRETS = (
+    ("assign", "(" + "|".join(map(_EITHER, ("password", "passwd", "secret", "token"))) + "|" + _EITHER("api") + "_?" + _EITHER("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "(AKIA[A-Z0-9]+)", 1, 16), ("hex", "([0-9a-f]+)", 1, 32), ("pem", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 0),
+    ("jwt", r"(\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 0), ("github", r"(\bgh[pos]_[A-Za-z0-9]{36,})", 1, 0),
+)
+_SECRET_MATCHES = " union all ".join(
+    f"select n, {k} o, '{kind}' kind, {least} least, regexp_extract_all(t, '{p}') w, regexp_extract_all(t, '{p}', {group}) g, string_split_regex(t, '{p}') s from d where regexp_matches(t, '{p}')"
+    for k, (kind, p, group, least) in enumerate(_SECRETS)
+)
+
 SQL = {
+    "op7_secrets": f"""
+with d as (select row_number() over () n, doc_id, coalesce(text, '') t from documents),
+m as ({_SECRET_MATCHES}),
+x as (select n, o, kind, least, unnest(range(1, len(w) + 1)) i, w, g, s from m),
+f as (select n, o, kind, list_sum(list_transform(s[1:i], lambda y: length(y)))::bigint + coalesce(list_sum(list_transform(w[1:i - 1], lambda y: length(y))), 0)::bigint a, length(w[i]) size from x where length(g[i]) >= least),
+r as (select n, count(*) filter (o = 0) n_assign, count(*) filter (o = 1) n_access, count(*) filter (o = 2) n_hex,
+  string_agg(kind || ':' || a || ':' || (a + size), ',' order by a, o) filter (o < 3) base, string_agg(kind || ':' || a || ':' || (a + size), ',' order by a, o) spans from f group by n)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join r using (n)""",
     "op5_decontamination": f"""
 with i as (select item_id, {_WORDS} w from benchmark),
 g as (select distinct item_id, list_slice(w, k, k + 9) g from i, unnest(range(1, greatest(2, len(w) - 8))) u(k) where len(w) > 0),

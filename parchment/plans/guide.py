@@ -115,11 +115,13 @@ def guides(files: DataFrame, metadata: DataFrame | None = None, terms=PRESERVED_
     cautions = [F.lit(x) for x in _CAUTIONS] + [F.when(F.arrays_overlap("environments", F.array(*map(F.lit, names))), text) for names, text in _MORE]
     cautions.append(F.when(F.size("labels") > 0, F.concat(F.lit("- There are cross-references ("), F.size("labels").cast("string"), F.lit(" labels): never translate identifiers."))))
     term_rows = "\n".join(f"| {a} | {b} |" for a, b in pairs)
+    glossary = "\n".join([*(f"| {a} | {b} | fixed, the same throughout |" for a, b in pairs), "| any other term | by its context | English where in doubt |"])
     parts = [
         F.lit("# Paper Translation Guide\n\nMade from the paper's sources and metadata; it states nothing that these do not.\n\n"),
         F.coalesce("metadata", F.lit("")),
         F.lit("## Structure\n"), bullets(F.coalesce("sections", none), "- No explicit section commands were detected."),
-        F.lit("\n\n## Proper Nouns And Keep-English Items\n"),
+        F.lit(f"\n\n## Glossary\n| English term | Chinese translation | Notes |\n| --- | --- | --- |\n{glossary}\n"),
+        F.lit("\n## Proper Nouns And Keep-English Items\n"),
         F.when(title == "", "").otherwise(F.concat(F.lit("- Original title: "), code(title), F.lit("\n"))),
         F.lit("- Document class(es): "), code_list(F.col("classes")), F.lit("\n- Packages detected: "), code_list(F.col("packages")),
         F.lit("\n- Environment names detected: "), code_list(F.col("environments")),

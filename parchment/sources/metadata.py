@@ -1,4 +1,4 @@
-"""Bibliographic metadata from landed responses, by XPath and patterns."""
+"""Bibliographic metadata from landed responses: Atom parsed once for each, and patterns."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.ids import page_url
 from ..functions.text import collapsed
 
-_ENTRY = "/*[local-name()='feed']/*[local-name()='entry'][1]"
-
-
-def _one(body: Column, path: str) -> Column:
-    return collapsed(F.coalesce(F.xpath_string(body, F.lit(f"{_ENTRY}/{path}")), F.lit("")))
+_TERM = "struct<_term:string>"
+#: The elements of an entry that are read, by their names without namespaces.
+_FEED = (
+    "entry array<struct<title:string,summary:string,published:string,updated:string,doi:string,journal_ref:string,comment:string,"
+    f"author:array<struct<name:array<string>>>,category:array<{_TERM}>,primary_category:{_TERM}>>"
+)
 
 
 def _optional(value: Column) -> Column:
@@ -25,23 +26,22 @@ def citation_key(bibtex: Column) -> Column:
 
 
 def parse_metadata(responses: DataFrame) -> DataFrame:
-    """responses: paper_id, body (Atom), bibtex. One row each; status is ok, `no entry` or `no key`."""
-    body = F.col("body")
-    element = lambda name: f"*[local-name()='{name}']"
-    many = lambda path: F.filter(F.transform(F.xpath(body, F.lit(f"{_ENTRY}/{path}")), collapsed), lambda x: x != "")
-    has_entry = F.xpath_boolean(body, F.lit(_ENTRY))
-    out = responses.select(
-        F.col("paper_id"),
-        _one(body, element("title")).alias("title"),
-        many("*[local-name()='author']/*[local-name()='name']/text()").alias("authors"),
-        _one(body, element("summary")).alias("abstract"),
-        _one(body, element("published")).alias("published"),
-        _one(body, element("updated")).alias("updated"),
-        many("*[local-name()='category']/@term").alias("categories"),
-        _optional(_one(body, "*[local-name()='primary_category']/@term")).alias("primary_category"),
-        *(_optional(_one(body, element(x))).alias(x) for x in ("doi", "journal_ref", "comment")),
+    """responses: paper_id, body (Atom), bibtex. One row each, of the feed's first entry; status is ok, `no entry` (also for what is no XML) or `no key`."""
+    parsed = responses.withColumn("_e", F.get(F.from_xml("body", _FEED, {"ignoreNamespace": "true"})["entry"], F.lit(0)))
+    one = lambda name: collapsed(F.coalesce(F.col(f"_e.{name}"), F.lit("")))
+    many = lambda values: F.coalesce(F.filter(F.transform(values, collapsed), lambda x: x != ""), F.array().cast("array<string>"))
+    out = parsed.select(
+        "paper_id",
+        one("title").alias("title"),
+        many(F.flatten(F.transform("_e.author", lambda a: a["name"]))).alias("authors"),
+        one("summary").alias("abstract"),
+        one("published").alias("published"),
+        one("updated").alias("updated"),
+        many(F.transform("_e.category", lambda c: c["_term"])).alias("categories"),
+        _optional(one("primary_category._term")).alias("primary_category"),
+        *(_optional(one(x)).alias(x) for x in ("doi", "journal_ref", "comment")),
         citation_key(F.col("bibtex")).alias("citation_key"),
-        F.when(~has_entry, "no entry").when(citation_key(F.col("bibtex")).isNull(), "no key").otherwise("ok").alias("status"),
+        F.when(F.col("_e").isNull(), "no entry").when(citation_key(F.col("bibtex")).isNull(), "no key").otherwise("ok").alias("status"),
     )
     return out.withColumn("abs_url", page_url(F.col("paper_id"))).withColumn("year", F.substring("published", 1, 4))
 

@@ -1,5 +1,6 @@
 import gzip
 import io
+import os
 import sys
 import tarfile
 import zipfile
@@ -187,6 +188,15 @@ def test_landing(spark, tmp_path):
     (folder / "2401.00001.tar.gz").write_bytes(CONTENTS["tar"])
     (folder / "b.pdf").write_bytes(b"%PDF")
     out = str(tmp_path / "out")
-    stream = landing.landed_archives(spark, str(folder))
-    landing.process(stream, lambda f: f.filter("path like '%.tex'").select("paper_id", "path", "text"), out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    assert [(r["paper_id"], r["path"], r["text"]) for r in spark.read.parquet(out).collect()] == [("2401.00001", "main.tex", TEX.decode())]
+
+    def run():
+        stream = landing.landed_archives(spark, str(folder))
+        landing.process(stream, lambda f: f.filter("path like '%.tex'").select("paper_id", "landed", "path", "text"), out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted((r["paper_id"], r["path"], r["text"]) for r in landing.latest(spark.read.parquet(out)).collect())
+
+    assert run() == [("2401.00001", "main.tex", TEX.decode())]
+    # a corrected archive takes the place of the first
+    again = folder / "2401.00001.tex"
+    again.write_bytes(b"\\documentclass{article} corrected")
+    os.utime(again, (2_000_000_000, 2_000_000_000))
+    assert run() == [("2401.00001", "main.tex", "\\documentclass{article} corrected")]

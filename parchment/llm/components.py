@@ -36,12 +36,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     The number of rounds grows with the logarithm of the number of nodes. An edge with a null end is left out.
     """
-    now, before = stored(_downward(edges.select("a", "b").dropna()), "edges"), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        now, before = stored(_small_star(_large_star(now)), "edges"), state
+    now = stored(_downward(edges.select("a", "b").dropna()), "edges")
+    while not _are_stars(now):
+        now = stored(_small_star(_large_star(now)), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one smaller end, and that none below it: then that is the least node of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (key, root) with more links (a, b) between keys, old or new: only the roots that these join are worked on."""
+    of = lambda end, name: roots.select(F.col("key").alias(end), F.col("root").alias(name))
+    between = links.join(of("a", "p"), "a", "left").join(of("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
+    new = stored(components(between), "merged")
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("key", F.coalesce("least", "root").alias("root"))
+    added = new.select(F.col("node").alias("key"), "root").join(roots.select("key"), "key", "left_anti")
+    return stored(moved.unionByName(added), "roots")
 
 
 def first_of_classes(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .catalog import Template, table
 from .functions import scan
 from .functions import text as text_
-from .operators import intervals
-from .plans import translate
+from .operators import chunking, intervals
+from .plans import guide, translate
 from .rules import compat, document
 from .sources import archives
 from .storage import new_path
@@ -290,18 +290,20 @@ def safe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.array_join(F.transform("c", lambda x: F.length(x).cast("string")), ",").alias("lengths"), F.md5(F.array_join("c", "")).alias("text_md5"))
 
 
+#: SQL that packs the column tex into the list c of chunks of about 700 characters, ends of chunks outside all braces.
+_PACK = r"""
+p as (select *, string_split_regex(tex, '\n\s*\n') a, regexp_extract_all(tex, '\n\s*\n') s from t),
+q as (select *, flatten(list_transform(range(1, len(a) + 1), lambda i: case when i <= len(s) then [a[i], s[i]] else [a[i]] end)) parts from p),
+r as (select *, list_reduce(list_transform(parts, lambda x: {'c': []::varchar[], 'cur': x, 'b': length(x) - length(replace(x, '{', '')) - length(x) + length(replace(x, '}', ''))}), lambda f, x:
+  case when f.cur <> '' and length(f.cur) + length(x.cur) > 700 and f.b = 0 then {'c': list_append(f.c, f.cur), 'cur': x.cur, 'b': x.b}
+    when f.cur <> '' and length(f.cur) + length(x.cur) >= 700 and f.b + x.b = 0 then {'c': list_append(f.c, f.cur || x.cur), 'cur': '', 'b': 0::bigint}
+    else {'c': f.c, 'cur': f.cur || x.cur, 'b': f.b + x.b} end) r from q),
+k as (select *, case when length(tex) <= 700 then [tex] when r.cur = '' then r.c else list_append(r.c, r.cur) end c from r)"""
 register(
     "safe_chunks",
     safe_chunks,
     rf"""
-with t as (select doc_id, {_PACKED.sql} tex from (select * replace (translate(text, '\%$[]{{}}', '') as text) from documents)),
-p as (select doc_id, tex, string_split_regex(tex, '\n\s*\n') a, regexp_extract_all(tex, '\n\s*\n') s from t),
-q as (select doc_id, tex, flatten(list_transform(range(1, len(a) + 1), lambda i: case when i <= len(s) then [a[i], s[i]] else [a[i]] end)) parts from p),
-r as (select doc_id, tex, list_reduce(list_transform(parts, lambda x: {{'c': []::varchar[], 'cur': x, 'b': length(x) - length(replace(x, '{{', '')) - length(x) + length(replace(x, '}}', '')), 'n': 1}}), lambda f, x:
-  case when f.cur <> '' and length(f.cur) + length(x.cur) > 700 and f.b = 0 then {{'c': list_append(f.c, f.cur), 'cur': x.cur, 'b': x.b, 'n': 1}}
-    when f.cur <> '' and length(f.cur) + length(x.cur) >= 700 and f.b + x.b = 0 then {{'c': list_append(f.c, f.cur || x.cur), 'cur': '', 'b': 0::bigint, 'n': 0}}
-    else {{'c': f.c, 'cur': f.cur || x.cur, 'b': f.b + x.b, 'n': f.n}} end) r from q),
-k as (select doc_id, tex, case when length(tex) <= 700 then [tex] when r.cur = '' then r.c else list_append(r.c, r.cur) end c from r)
+with t as (select doc_id, {_PACKED.sql} tex from (select * replace (translate(text, '\%$[]{{}}', '') as text) from documents)),{_PACK}
 select doc_id, len(c)::bigint n_chunks, array_to_string(list_transform(c, lambda x: length(x)::varchar), ',') lengths, md5(array_to_string(c, '')) text_md5 from k""",
 )
 
@@ -472,3 +474,59 @@ e as (select *, replace(replace(p, mark || chr(10), mark), mark, mark || chr(10)
 f as (select *, case when doc_id % 3 = 0 then regexp_replace(q, '\\title\{{[^{{}}]*\}}', chr(1)).replace(chr(1), c) when c <> '' then replace(q, '\begin{{document}}', c || chr(10) || '\begin{{document}}') else q end r from e)
 select doc_id, md5(replace(r, '\begin{{document}}', '\date{{不可用}}' || chr(10) || '\begin{{document}}')) text_md5, a pdf_title from f""",
 )
+
+
+_FILES = Cases("<<text>>\n\n{<<text>>\n\n<<source>>}\n\n\\appendix\n\n<<text>>", "<<lang>>\n\n<<text>>\n\n<<text>>", "\\appendix\n\n<<lang>>")
+
+
+def prose_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work items of files of prose: chunks that end outside groups, with offsets, contexts of 40 characters, and routes. Texts lose their own marks first."""
+    rows = table(spark, sf_dir, "documents").withColumn("text", _plain("text"))
+    files = rows.select(F.col("doc_id").cast("string").alias("paper_id"), F.when(F.col("doc_id") % 5 == 0, "appendix/a.tex").otherwise("main.tex").alias("path"), _FILES.column.alias("text"))
+    items = chunking.work_items(files, 700, 40)
+    return items.select("paper_id", F.col("idx").cast("long").alias("idx"), "offset", "length", "route", F.md5("chunk").alias("chunk_md5"), F.md5("ctx_before").alias("before_md5"), F.md5("ctx_after").alias("after_md5"))
+
+
+register(
+    "prose_items",
+    prose_items,
+    rf"""
+with t as (select doc_id, {_FILES.sql} tex from (select * replace (translate(text, '\%$[]{{}}', '') as text) from documents)),{_PACK},
+i as (select doc_id, tex, unnest(range(1, len(c) + 1)) n, c from k),
+o as (select doc_id, tex, n, c[n] chunk, coalesce(list_sum(list_transform(c[1:n - 1], lambda x: length(x))), 0)::bigint o, strpos(tex, '\appendix') app from i)
+select doc_id::varchar paper_id, n - 1 idx, o as "offset", length(chunk)::bigint length, case when doc_id % 5 = 0 or app > 0 and o + length(chunk) > app - 1 then 'appendix' else 'main' end route,
+  md5(chunk) chunk_md5, md5(substr(tex, greatest(o - 40, 0) + 1, o - greatest(o - 40, 0))) before_md5, md5(substr(tex, o + length(chunk) + 1, 40)) after_md5 from o""",
+)
+
+_GUIDED = Cases(
+    "\\documentclass{article}\n\\usepackage{b,a}\n\\newcommand{\\own<<lang>>}{x}\n\\title{On <<source>>}\n\\begin{document}\n\\section{In <<lang>>}\\label{s}\n\\begin{table}x\\end{table}\n\\subsection*{Of `<<n_chars>>`}\n\\end{document}",
+    "words <<lang>> % \\section{no}\n",
+)
+
+
+def guide_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guides of papers of one file, from sources with a title, sections, a table and a macro, or with nothing."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("main.tex").alias("path"), _GUIDED.column.alias("text"))
+    return guide.guides(files).select("paper_id", "guide")
+
+
+def _guide_sql() -> str:
+    some = lambda then, other: f"case when doc_id % 2 = 0 then {then} else {literal(other)} end"
+    found = lambda p: f"regexp_extract(tex, '{p}', 1)"
+    pairs, terms = guide.PREFERRED_TRANSLATIONS, guide.PRESERVED_TERMS
+    parts = [
+        literal("# Paper Translation Guide\n\nMade from the paper's sources and metadata; it states nothing that these do not.\n\n## Structure\n"),
+        some("'- `section`: `' || " + found(r"\\section\{([^}]*)\}") + " || '`' || chr(10) || '- `subsection`: `' || replace(" + found(r"\\subsection\*\{([^}]*)\}") + ", '`', '\\`') || '`'", "- No explicit section commands were detected."),
+        literal("\n\n## Glossary\n| English term | Chinese translation | Notes |\n| --- | --- | --- |\n" + "".join(f"| {a} | {b} | fixed, the same throughout |\n" for a, b in pairs) + "| any other term | by its context | English where in doubt |\n"),
+        literal("\n## Proper Nouns And Keep-English Items\n"),
+        some("'- Original title: `' || " + found(r"\\title\{([^}]*)\}") + " || '`' || chr(10)", ""),
+        some("'- Document class(es): `' || " + found(r"\\documentclass\{([^}]*)\}") + " || '`' || chr(10) || '- Packages detected: `' || array_to_string(list_sort(string_split(" + found(r"\\usepackage\{([^}]*)\}") + r", ',')), '`, `') || '`' || chr(10) || '- Environment names detected: `' || array_to_string(list_sort(regexp_extract_all(tex, '\\begin\{([^}]*)\}', 1)), '`, `') || '`'",
+             "- Document class(es): None detected.\n- Packages detected: None detected.\n- Environment names detected: None detected."),
+        literal("\n- Source files:\n- `main.tex`\n\n## Style Rules\n- Concise, formal Simplified Chinese; the same words for the same terms throughout.\n- Notation and claims stay as they are.\n\n## LaTeX Cautions\n" + "\n".join(guide._CAUTIONS)),
+        some(literal("\n" + guide._MORE[0][1]) + r" || chr(10) || '- There are cross-references (' || len(regexp_extract_all(tex, '\\label')) || ' labels): never translate identifiers.' || " + literal("\n\n## Predefined LaTeX Commands\nKeep every use of these with its arguments; a command without arguments right before Chinese text gets an empty group (`{}`).\n- `") + " || " + found(r"(\\newcommand[^\n]*)") + " || '`'", ""),
+        literal("\n\n## Preferred Fixed Translations\n| English term | Preferred Chinese translation |\n| --- | --- |\n" + "".join(f"| {a} | {b} |\n" for a, b in pairs) + "\n## Forced Keep-English Terms\n" + "".join(f"- `{t}`\n" for t in terms)),
+    ]
+    return f"select doc_id::varchar paper_id, {' || '.join(parts)} guide from (select doc_id, {_GUIDED.sql} tex from documents)"
+
+
+register("guide_texts", guide_texts, _guide_sql())

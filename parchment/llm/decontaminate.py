@@ -32,7 +32,7 @@ from .shared import ALNUM, LOWER, chunks, cut_spans, free_names, merged_spans, s
 #: Words of a window.
 WINDOW = 10
 #: Words of the benchmark that one pass searches for.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 #: Bytes of text in a shard; a longer text is one of its own.
 SHARD = 1 << 23
 SPANS = "array<struct<first:int,last:int,start:int,end:int>>"

@@ -15,9 +15,11 @@ the most frequent. Their ids go to all tasks. The rest, the long tail of words,
 stand, since joining each of their places back to its text would shuffle more than the texts themselves; a word of
 more than LONG characters is folded there too. Ids do not depend on which way a word went.
 
-Ids of a byte-pair model are those of the library's encoder; decoding gives each text back exactly, and as the library does.
+Ids of a byte-pair model are those of the library's encoder, but for texts with U+2581: the library takes it for a space, here
+it becomes its bytes' pieces, so that decoding gives each text back exactly.
 
-Null and empty texts have no pieces, and decode to an empty text. Repeated rows each give a row; extra columns pass through encode() and decode().
+Null and empty texts have no pieces, and decode to an empty text. Repeated rows each give a row; extra columns pass through encode() and decode(),
+but encode() cannot take a column ids. A text of any length is encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

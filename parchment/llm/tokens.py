@@ -12,6 +12,7 @@ ids of them, with its first position in its part, the documents' ids and lengths
 
 Null and empty texts have no ids of their own, only the end id. Rows that share a doc_id follow each other in order of
 their text's hash; a null doc_id comes first. Extra columns are not read. An empty table gives a file set without blocks.
+A text of any length is encoded whole; one of more than BLOCK ids is a block of its own.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digest
 from .decontaminate import decontamination_report
+from .infill import infill_digest
 from .licenses import license_scan
+from .packing import packing_report
 from .pieces import pieces_report
 from .quality import quality
 from .repeats import repeats_report
@@ -16,6 +18,7 @@ from .secrets import secret_digest
 from .simhash import near_components
 from .tokens import token_report
 from .urls import judge_urls
+from .vectors import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +75,22 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, pages.filter(F.contains("html", F.lit(JUNK))).select("url")).drop("maybe_listed")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_chat, op4_tokens, op5_decontamination, op6_licenses, op7_secrets, op8_repeats, op9_pieces, op10_urls)}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_simhash, op3_chat, op4_tokens, op5_decontamination, op6_licenses, op7_secrets, op8_repeats, op9_pieces, op10_urls, op11_infill, op12_packing, op13_vectors)
+}
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPE = r"regexp_replace(coalesce({}, ''), '([<\[])(\\*)(/?s>|/?ROLE\]|TURN\]|/?INST\])', '\1\\\2\3', 'g')"
@@ -94,7 +112,38 @@ _SECRET_MATCHES = " union all ".join(
     for k, (kind, p, group, least) in enumerate(_SECRETS)
 )
 
+_TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+
+def _rounds() -> str:
+    """Named steps of the codebooks: b0, then a round's nearest entries a and new entries b, then the last nearest entries."""
+    near = lambda i: f"""a{i} as materialized (select vec_id, k, min(struct_pack(d := d, e := e)) m from (
+  select vec_id, k, e, list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint d from p join b{i} using (k)) group by vec_id, k)"""
+    entry = lambda i: f"""b{i + 1} as materialized (select b.k, b.e, coalesce(n.c, b.c) c from b{i} b left join (
+  select k, e, list(c order by j) c from (select k, m.e e, j, (sum(p[j]) - ((sum(p[j]) % count(*)) + count(*)) % count(*))::bigint // count(*) c
+    from p join a{i} using (vec_id, k), unnest(range(1, len(p) + 1)) u(j) group by k, m.e, j) group by k, e) n on b.k = n.k and b.e = n.e)"""
+    return ",\n".join([x for i in range(ROUNDS) for x in (near(i), entry(i))] + [near(ROUNDS)])
+
+
 SQL = {
+    "op11_infill": rf"""
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') w, sha256('42:' || doc_id) h from documents),
+u as (select *, len(w) n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+f as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form,
+  array_to_string(w[1:least(h1 % (n + 1), h2 % (n + 1))], '') p, array_to_string(w[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') m,
+  array_to_string(w[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') s from u)
+select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+  sha256(t) restored_sha256 from f""",
+    "op13_vectors": f"""
+with v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, k, v[(k * (len(v) // {PARTS}) + 1)::bigint:((k + 1) * (len(v) // {PARTS}))::bigint] p from v, unnest(range({PARTS})) u(k)),
+b0 as materialized (select k, row_number() over (partition by k order by vec_id) - 1 e, p c from p where vec_id in (select vec_id from v order by vec_id limit {ENTRIES})),
+{_rounds()},
+r as (select vec_id, string_agg(printf('%02x', m.e), '' order by k) code, sum(m.d)::bigint error from a{ROUNDS} group by vec_id)
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error,
+  sha256((select string_agg(array_to_string(c, ','), ',' order by k, e) from b{ROUNDS})) codebooks_sha256 from r join v using (vec_id)""",
     "op7_secrets": f"""
 with d as (select row_number() over () n, doc_id, coalesce(text, '') t from documents),
 m as ({_SECRET_MATCHES}),

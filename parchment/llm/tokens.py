@@ -139,17 +139,22 @@ class Encoder(dict):
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
+def encoder(path: str, special: bool) -> Encoder:
+    """The worker's encoder for that file, with what it has learnt from earlier tasks."""
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
+
+
 def _ids(path: str, end: int, special: bool):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        if (path, special) not in _ENCODERS:
-            _ENCODERS[path, special] = Encoder(path, special)
-        encoder = _ENCODERS[path, special]
-        width, last = bytes([encoder.kind.itemsize]), np.array([end], encoder.kind).tobytes()
+        code = encoder(path, special)
+        width, last = bytes([code.kind.itemsize]), np.array([end], code.kind).tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 docs, tie, texts = text_columns(batch.slice(k, 1000), "doc_id", "tie", "text")
-                ids = encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.cast(pa.binary())])
+                ids = code.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.cast(pa.binary())])
                 yield pa.RecordBatch.from_arrays([docs, tie, pa.array([width + x + last for x in ids], pa.binary())], names=["doc_id", "tie", "ids"])
 
     return mapped

@@ -7,7 +7,7 @@ of a wavelet matrix, their places by sampled suffix positions; overlapping and t
 
 The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words (an item of more words is a block of its own),
 one pass over the documents each; with several blocks the passes' spans are merged per document. Words are compared by
-64-bit hashes.
+their bytes.
 
 Null and empty texts have no words and no hits. Items without words are left out; an item without id taints documents
 but is not counted among their items; rows of one item_id are one item. Repeated documents each give a row; rows that
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .shared import ALNUM, LOWER, chunks, cut_spans, free_names, merged_spans, spans, stored, text_columns, utf8, word_hashes
+from .shared import ALNUM, LONG, LOWER, SHORT, chunks, cut_spans, free_names, merged_spans, packed_words, spans, stored, text_columns, utf8
 
 #: Words of a window.
 WINDOW = 10
@@ -42,9 +42,9 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 @dataclass
 class Block:
-    """Windows of some items: sorted word hashes, windows as rows of word numbers from 1, their lengths, and their items."""
+    """Windows of some items: the words by their numbers from 1, windows as rows of those numbers, their lengths, and their items."""
 
-    words: np.ndarray
+    words: list[bytes]
     windows: np.ndarray
     lengths: np.ndarray
     items: list[list[int]]
@@ -54,17 +54,9 @@ def item_words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().lower())
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b" ".join(words), np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    return word_hashes(raw, np.concatenate([[0], ends[:-1] + 1]), ends)
-
-
 def make_block(items: list[tuple[int | None, list[bytes]]], window: int = WINDOW) -> Block:
     vocabulary = sorted({w for _, words in items for w in words})
-    h = _word_hashes(vocabulary)
-    order = np.argsort(h)
-    number = {vocabulary[i]: k + 1 for k, i in enumerate(order.tolist())}
+    number = {w: k + 1 for k, w in enumerate(vocabulary)}
     of: dict[tuple[int, ...], set] = {}
     for item, words in items:
         ids = [number[w] for w in words]
@@ -73,7 +65,7 @@ def make_block(items: list[tuple[int | None, list[bytes]]], window: int = WINDOW
     rows = np.zeros((len(of), window), np.int64)
     for k, ids in enumerate(of):
         rows[k, : len(ids)] = ids
-    return Block(h[order], rows, np.array([len(x) for x in of], np.int64), [sorted(x - {None}) for x in of.values()])
+    return Block(vocabulary, rows, np.array([len(x) for x in of], np.int64), [sorted(x - {None}) for x in of.values()])
 
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -91,13 +83,38 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_
         yield make_block(held, window)
 
 
-def _numbers(h: np.ndarray, vocabulary: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The number of each hash in vocabulary from 1, or 0; seen: whether the vocabulary has a hash with these 16 top bits."""
-    out = np.zeros(len(h), np.int64)
-    maybe = np.flatnonzero(seen[(h >> np.uint64(48)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(vocabulary, h[maybe]), len(vocabulary) - 1)
-    out[maybe] = np.where(vocabulary[at] == h[maybe], at + 1, 0)
-    return out
+class Vocabulary:
+    """The words of a block, to look up those of texts: short ones as sorted 64-bit numbers that are their bytes, long ones by a dictionary."""
+
+    def __init__(self, words: list[bytes]):
+        raw = np.frombuffer(b" ".join(words), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        packed, _ = packed_words(raw, np.concatenate([[0], ends[:-1] + 1]), ends)
+        short = np.array([len(w) <= SHORT for w in words])
+        self.number = np.flatnonzero(short) + 1
+        order = np.argsort(packed[short])
+        self.packed, self.number = packed[short][order], self.number[order]
+        self.long = {w: k + 1 for k, w in enumerate(words) if len(w) > SHORT}
+        # which of the numbers' 16 bits behind a mixing step occur: most words of a text are told apart by these
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[self._top(self.packed)] = True
+
+    @staticmethod
+    def _top(packed: np.ndarray) -> np.ndarray:
+        return (packed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+
+    def numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word of raw, 0 for those that are not in the vocabulary."""
+        packed, long = packed_words(raw, starts, ends)
+        out = np.zeros(len(packed), np.int64)
+        is_long = packed >= LONG
+        if long:
+            out[is_long] = np.array([self.long.get(w, 0) for w in long])[(packed[is_long] ^ LONG).astype(np.int64)]
+        if len(self.packed):
+            maybe = np.flatnonzero(~is_long & self.seen[self._top(packed)])
+            at = np.minimum(np.searchsorted(self.packed, packed[maybe]), len(self.packed) - 1)
+            out[maybe] = np.where(self.packed[at] == packed[maybe], self.number[at], 0)
+        return out
 
 
 def _places(numbers: np.ndarray, row: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +141,14 @@ def _places(numbers: np.ndarray, row: np.ndarray, block: Block) -> tuple[np.ndar
     return source[index.locate(rows)], window
 
 
-def _shard(texts: pa.Array, block: Block, seen: np.ndarray):
+def _shard(texts: pa.Array, block: Block, vocabulary: Vocabulary):
     """n_words, spans and items of each text."""
     raw, offsets = utf8(texts)
     numbers, row, begin, end = [], [], [], []
     for i, j in chunks(offsets):
         part, at = LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         a, b = spans(part, at, ALNUM)
-        numbers.append(_numbers(word_hashes(part, a, b), block.words, seen).astype(np.int32))
+        numbers.append(vocabulary.numbers(part, a, b).astype(np.int32))
         row.append((np.searchsorted(at, a, "right") - 1 + i).astype(np.int32))
         begin.append(a + offsets[i])
         end.append(b + offsets[i])
@@ -170,23 +187,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, j - i)
 
 
-def _seen(block: Block) -> np.ndarray:
-    """For _numbers."""
-    seen = np.zeros(1 << 16, bool)
-    seen[(block.words >> np.uint64(48)).astype(np.int64)] = True
-    return seen
-
-
 def _search(docs: DataFrame, block: Block) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(block)
     span = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        seen = _seen(block)
+        vocabulary = Vocabulary(block.words)
         for batch in _slices(batches):
             ids, tag, texts = text_columns(batch, "doc_id", "tag", "text")
-            n_words, found, items = _shard(texts, block, seen)
+            n_words, found, items = _shard(texts, block, vocabulary)
             yield pa.RecordBatch.from_arrays([ids, tag, pa.array(n_words, pa.int64()), pa.array(found, span), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "tag", "n_words", "spans", "items"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(searched, SCHEMA)
@@ -200,7 +210,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         if len(parts) > 1:
             parts[-1] = stored(parts[-1], "hits")
     if not parts:
-        return _search(docs, Block(np.array([1], np.uint64), np.ones((1, window), np.int64), np.array([1 << 30]), [[]]))
+        return _search(docs, Block([b"a"], np.ones((1, window), np.int64), np.array([1 << 30]), [[]]))
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -238,8 +248,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
 def _clean(held):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
+        vocabulary = Vocabulary(block.words)
         for batch in _slices(batches):
-            _, found, _ = _shard(text_columns(batch, "text")[0], block, _seen(block))
+            _, found, _ = _shard(text_columns(batch, "text")[0], block, vocabulary)
             yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
     return kept

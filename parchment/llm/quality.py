@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, chunks, mixed, slices, spans, text_columns, utf8, word_hashes
+from .shared import PLAIN, chunks, mixed, slices, spans, text_columns, utf8, word_numbers
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_ROWS = 1500
@@ -75,12 +75,12 @@ class Model:
 
 
 def _views(column: pa.Array):
-    """For each chunk of a text column: its bytes, offsets, word spans and word hashes."""
+    """For each chunk of a text column: its bytes, offsets, word spans, word numbers (equal for equal words only) and word hashes."""
     raw, offsets = utf8(column)
     for i, j in chunks(offsets):
         part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends = spans(part, at, PLAIN)
-        yield part, at, starts, ends, word_hashes(part, starts, ends)
+        yield part, at, starts, ends, *word_numbers(part, starts, ends)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, label, texts = text_columns(batch, "doc_id", "label", "text")
         grams, shares = [], []
-        for part, at, starts, ends, word in _views(texts):
+        for part, at, starts, ends, _, word in _views(texts):
             families = list(_grams(part, at, starts, ends, word))
             for k in range(len(at) - 1):
                 found = [np.unique(g[a[k] : b[k]], return_counts=True) for g, a, b in families]
@@ -174,14 +174,18 @@ def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[edges])
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that are equal for equal pairs only, of numbers below 2**31."""
+    return np.unique(a << 31 | b, return_inverse=True)[1]
+
+
 def _repeated(word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each row: its words in windows of three that its row has twice or more."""
+    """Of each row: its words in windows of three that its row has twice or more. word: equal for equal words only."""
     n = len(word)
     covered = np.zeros(n, bool)
     if n >= 3:
-        key = mixed(mixed(word[:-2] * np.uint64(3) + word[1:-1]) * np.uint64(5) + word[2:])
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        key = mixed(key + mixed(row[:-2].astype(np.uint64)))
+        key = _pairs(_pairs(_pairs(word[:-2], word[1:-1]), word[2:]), row[:-2])
         at = np.flatnonzero(row[:-2] == row[2:])
         order = at[np.argsort(key[at], kind="stable")]
         same = key[order][1:] == key[order][:-1]
@@ -205,9 +209,9 @@ def _repeated_lines(text: bytes) -> int:
 def _judged(texts: pa.Array, model: Model, keep_at: float) -> list[np.ndarray]:
     """The columns of SCHEMA but doc_id for some texts, of which there is one at least."""
     parts = []
-    for raw, at, starts, ends, word in _views(texts):
+    for raw, at, starts, ends, number, word in _views(texts):
         first = np.searchsorted(starts, at)
-        n_words, repeated = np.diff(first), _repeated(word, first)
+        n_words, repeated = np.diff(first), _repeated(number, first)
         whole = raw.tobytes()
         failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n_words)
         p = model.probability(model.margins(_grams(raw, at, starts, ends, word)))

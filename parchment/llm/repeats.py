@@ -3,7 +3,9 @@
 A text's LENGTH-byte windows are dealt to anchors: of the GRAM-byte strings in a window the one with the least hash, the
 leftmost of equals. Equal windows have their anchor at the same place in them, so an index of the suffixes at anchors
 (about one in 35 bytes) finds every repeat. A run is the stretch of windows of one anchor; its row holds g, the hash of
-the anchor's string, and r, the hash of all bytes of the run.
+the anchor's string, and r, a BLAKE2b digest of all bytes of the run under a key that is drawn anew for each family, so that
+no text can be written to have the r of another one. g only brings runs together; what is removed hangs on r, and where runs
+that share g only are compared, on their bytes.
 
 Batches come in ascending doc_id. The runs of a batch, sorted by (g, r, place), stand for its suffix array: suffixes at
 anchors, in order of hashes instead of bytes. It is merge-scanned with the arrays of all existing levels in one sorted
@@ -23,6 +25,8 @@ and neither is earlier. A null doc_id comes first. Extra columns are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +60,12 @@ def windows_of(place: Column) -> Column:
     return place.bitwiseAND(127)
 
 
-def _runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    data, digest = raw.tobytes(), functools.partial(hashlib.blake2b, digest_size=8, key=key)
+    return np.frombuffer(b"".join([digest(data[a:b]).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64)
+
+
+def _runs(raw: np.ndarray, at: np.ndarray, key: bytes) -> tuple[np.ndarray, ...]:
     """Row, first byte, number of windows, g and r of each run in the texts raw[at[i]:at[i + 1]]."""
     m = len(raw) - LENGTH + 1
     if m <= 0:
@@ -76,7 +85,7 @@ def _runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(fresh & whole)
     stop = np.flatnonzero(np.concatenate([fresh | ~whole, [True]]))
     end = stop[np.searchsorted(stop, start, "right")]
-    return row[start], start, end - start, h[anchor[start]], hashes(sums, start, end + LENGTH - 1)
+    return row[start], start, end - start, h[anchor[start]], _digests(raw, start, end + LENGTH - 1, key)
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -90,7 +99,7 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
                 yield i, k, np.array([0, min(b, k + _PIECE + LENGTH - 1) - k])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     """Rows of ROW for each Arrow batch: the first run of each (g, r), and with stop set, the bytes of its later ones."""
     names = [x.split()[0] for x in ROW.split(", ")]
     for batch in batches:
@@ -99,7 +108,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = utf8(texts)
         parts = []
         for i, a, at in _pieces(offsets):
-            row, start, n, g, r = _runs(raw[a : a + at[-1]], at)
+            row, start, n, g, r = _runs(raw[a : a + at[-1]], at, key)
             parts.append((row + i, start + a - offsets[row + i], n, g, r))
         if not parts:
             continue
@@ -139,9 +148,13 @@ def _keyed(docs: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     return with_maybe(rows, F.col("doc"), stored(blooms, "blooms"), n_blocks, "several").select("doc_id", "doc", tie.alias("tie"), "text")
 
 
+def _scanned(keyed: DataFrame, key: bytes) -> DataFrame:
+    return keyed.select("doc", "tie", "text").mapInArrow(lambda batches: _scan(batches, key), ROW)
+
+
 def frequent_anchors(keyed: DataFrame) -> DataFrame:
     """g of anchors that very many runs share, by a sample of documents. At most HOT; they decide how rows are dealt out, not what is found."""
-    runs = keyed.filter(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0).select("doc", "tie", "text").mapInArrow(_scan, ROW)
+    runs = _scanned(keyed.filter(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0), bytes(16))
     return stored(runs.filter("stop is null").groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "g").limit(HOT).select("g"), "frequent")
 
 
@@ -149,7 +162,7 @@ class IndexFamily:
     """The levels of the index; add() takes batches of ascending doc_ids and keeps what it finds in them. frequent: g of anchors whose runs are dealt out further."""
 
     def __init__(self, spark: SparkSession, frequent: DataFrame | None = None):
-        self.spark, self.frequent = spark, frequent
+        self.spark, self.frequent, self.key = spark, frequent, os.urandom(16)
         self.levels: dict[int, str] = {}
         self.found: dict[str, DataFrame] = {}
 
@@ -166,7 +179,7 @@ class IndexFamily:
         while into in self.levels:
             into += 1
         age = lambda rows, n: rows.withColumn("age", F.lit(n).cast("byte"))
-        rows = age(docs.select("doc", "tie", "text").mapInArrow(_scan, ROW), 0)
+        rows = age(_scanned(docs, self.key), 0)
         for k in self.levels:
             rows = rows.unionByName(age(self._level(k), 1 if k < into else 2))
         salt = F.lit(-1)
@@ -221,14 +234,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["g", "doc", "tie", "place", "hot", "bytes"])
 
 
-def _windows(contexts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of each run: the run, the window's number in it, and its hash."""
+def _windows(contexts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of the runs; of each window of each run: the run, the window's number in it, and its first byte."""
     at = np.concatenate([[0], np.cumsum((place & 127) + LENGTH - 1)])
     raw = np.frombuffer(b"".join(contexts.to_pylist()), np.uint8)
     n = place & 127
     run = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    return run, step, hashes(rolling(raw), at[run] + step, at[run] + step + LENGTH)
+    return raw, run, step, at[run] + step
+
+
+def _same(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH bytes at a and at b are equal, pair by pair."""
+    windows, out = np.lib.stride_tricks.sliding_window_view(raw, LENGTH), np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 14):
+        out[k : k + (1 << 14)] = (windows[a[k : k + (1 << 14)]] == windows[b[k : k + (1 << 14)]]).all(1)
+    return out
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +257,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         g, doc, tie, place = (table[x].to_numpy() for x in ("g", "doc", "tie", "place"))
-        run, step, h = _windows(table["bytes"], place)
+        raw, run, step, at = _windows(table["bytes"], place)
+        h = hashes(rolling(raw), at, at + LENGTH)
         order = np.lexsort((step, run, h, g[run]))
         again = np.zeros(len(order), bool)
         again[1:] = (h[order[1:]] == h[order[:-1]]) & (g[run[order[1:]]] == g[run[order[:-1]]])
+        later = np.flatnonzero(again)
+        differ = later[~_same(raw, at[order[later]], at[order[later - 1]])]
+        head = np.flatnonzero(~again)
+        for first in np.unique(head[np.searchsorted(head, differ, "right") - 1]).tolist():
+            # different bytes of one hash, a rare case: told apart one by one
+            seen = set()
+            for k in range(first, int(head[np.searchsorted(head, first, "right")]) if first < head[-1] else len(order)):
+                window = raw[at[order[k]] : at[order[k]] + LENGTH].tobytes()
+                again[k] = window in seen
+                seen.add(window)
         run, step = run[order[again]], step[order[again]]
         start = (place[run] >> 7) + step
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[run], tie[run], start, start + LENGTH)], names=["doc", "tie", "start", "stop"])
@@ -257,11 +289,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compared(rest)
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _explode(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         g, doc, tie, place = (batch.column(x).to_numpy() for x in ("g", "doc", "tie", "place"))
-        run, step, h = _windows(batch.column("bytes"), place)
-        columns = (g[run], h.view(np.int64), doc[run], tie[run], (place[run] >> 7) + step)
+        raw, run, step, at = _windows(batch.column("bytes"), place)
+        columns = (g[run], _digests(raw, at, at + LENGTH, key).view(np.int64), doc[run], tie[run], (place[run] >> 7) + step)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["g", "h", "doc", "tie", "start"])
 
 
@@ -280,7 +312,8 @@ def _part_repeats(docs: DataFrame, mixed: DataFrame, group: int = GROUP) -> Data
     texts = _near(docs, runs, "near").filter("near").select("doc", "tie", "text").dropDuplicates(["doc", "tie"])
     found = stored(texts.join(runs, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(_contexts, "g long, doc long, tie long, place long, hot boolean, bytes binary"), "contexts")
     cold = found.filter("not hot").drop("hot").repartition("g").sortWithinPartitions("g", "doc", "tie", "place").mapInArrow(_compare, SPANS)
-    windows = found.filter("hot").drop("hot").mapInArrow(_explode, "g long, h long, doc long, tie long, start long")
+    key = os.urandom(16)
+    windows = found.filter("hot").drop("hot").mapInArrow(lambda batches: _explode(batches, key), "g long, h long, doc long, tie long, start long")
     first = windows.groupBy("g", "h").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     late = windows.join(first, ["g", "h"]).filter(F.struct("doc", "tie", "start") > F.col("first"))
     return cold.unionByName(late.select("doc", "tie", "start", (F.col("start") + LENGTH).alias("stop")))

@@ -85,22 +85,50 @@ def rolling(raw: np.ndarray) -> np.ndarray:
 
 
 def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the stretches [start, end); equal bytes have equal hashes wherever they stand."""
+    """64-bit numbers of the stretches [start, end); equal bytes have equal numbers wherever they stand, but strings can be built that differ and have one too."""
     return mixed((sums[ends] - sums[starts]) * _powers(len(sums))[1][starts])
 
 
-#: Bytes up to which hashes() is trusted for single words. Longer strings can be built that it takes for one another.
-SHORT = 32
+#: Bytes of words that stand in a number of 64 bits as they are, below their length in the top byte.
+SHORT = 7
+#: Added to the number of a long word.
+LONG = np.uint64(0xFF << 56)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words; those of more than SHORT bytes by XXH64, as a polynomial modulo 2**64 is no sound hash of long strings."""
-    out = hashes(rolling(raw), starts, ends)
-    for i in np.flatnonzero(ends - starts > SHORT).tolist():
-        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), 42)
+def packed_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each word, equal for equal words only: a short one's bytes and length, or the place of a long one in the list of those that differ."""
+    size = ends - starts
+    wide = np.concatenate([raw, np.zeros(8, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(wide, 8)[starts].view(np.uint64).ravel() if len(starts) else np.zeros(0, np.uint64)
+    masks = np.array([(1 << 8 * k) - 1 for k in range(SHORT + 1)], np.uint64)
+    out = (out & masks[np.minimum(size, SHORT)]) | size.astype(np.uint64) << np.uint64(56)
+    long, data = np.flatnonzero(size > SHORT), raw.tobytes()
+    seen: dict[bytes, int] = {}
+    number = [seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    out[long] = np.array(number, np.uint64) | LONG
+    return out, list(seen)
+
+
+def _hashed(packed: np.ndarray, long: list[bytes]) -> np.ndarray:
+    out = mixed(packed)
+    if long:
+        is_long = packed >= LONG
+        out[is_long] = np.array([xxhash.xxh64_intdigest(w, 42) for w in long], np.uint64)[(packed[is_long] ^ LONG).astype(np.int64)]
     return out
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: one to one up to SHORT bytes, by XXH64 beyond."""
+    return _hashed(*packed_words(raw, starts, ends))
+
+
+def word_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 that are equal for equal words only, and hashes as of word_hashes."""
+    packed, long = packed_words(raw, starts, ends)
+    distinct, number = np.unique(packed, return_inverse=True)
+    return number, _hashed(distinct, long)[number]
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """names, with as many underscores more as it takes for df to have no such column."""
     taken, out = {c.lower() for c in df.columns}, []

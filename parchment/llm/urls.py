@@ -35,7 +35,9 @@ def canonical(url: Column) -> Column:
     """Host without www. or m., path without .html or final slashes, query without utm_ parameters; null for a url without `://`."""
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.startswith("utm_")), "&")
-    path = F.regexp_replace(path_of(url), r"(\.html?)?/*$", "")
+    # plain trims: a pattern with slashes at the end would start anew at each slash of a long run
+    path = F.rtrim(path_of(url), F.lit("/"))
+    path = F.when(path.endswith(".html"), F.left(path, F.length(path) - 5)).when(path.endswith(".htm"), F.left(path, F.length(path) - 4)).otherwise(path)
     return F.when(F.instr(url, "://") > 0, F.concat(F.regexp_replace(host_of(url), r"^(www|m)\.", ""), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
 
 

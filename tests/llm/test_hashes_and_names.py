@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parchment.llm import components, decontaminate, quality, shared, similar, simhash
+from parchment.llm import components, decontaminate, quality, repeats, shared, similar, simhash
 from parchment.llm.bloom import bloom_filter, with_maybe
 
 
@@ -31,13 +31,61 @@ def test_long_words_are_told_apart(spark):
     assert [r["doc_id"] for r in decontaminate.without_contaminated(texts, items).collect()] == [1]
 
 
+#: Strings of 32 and of 100 bytes that a polynomial hash modulo 2**64 that was used here once took for one another, found by a birthday search.
+TWINS = ("mbtvcgrcrgsouszrdydborsxcfdipmpb", "yjltogvsxprhgvtradrtmixswumaagng")
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    one, two = TWINS
+    raw = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    starts, ends = np.array([0, 33]), np.array([32, 65])
+    sums = shared.rolling(raw)
+    assert len(set(shared.hashes(sums, starts, ends).tolist())) == 1, "no twins any more: find others, or drop these"
+    number, h = shared.word_numbers(raw, starts, ends)
+    assert len(set(number.tolist())) == len(set(h.tolist())) == 2
+    docs = spark.createDataFrame([(1, f"a b {one} c d e a b {two}"), (2, f"a b {one} c d e a b {one}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.quality(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()} == {1: 0, 2: 6}
+    items = spark.createDataFrame([(5, one)], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"x {two} y"), (2, f"x {one} y")], "doc_id long, text string")
+    assert {r["doc_id"]: r["contaminated"] for r in decontaminate.decontamination_report(texts, items).collect()} == {1: False, 2: True}
+    sets = list(similar.shingle_sets(pa.array([f"p q {one} r s", f"p q {two} r s"])))
+    assert not set(sets[0].tolist()) & set(sets[1].tolist())
+
+
+def test_repeats_of_one_polynomial_hash_are_told_apart(spark):
+    """Texts that begin alike and differ in 32 bytes that have one polynomial hash: nothing is repeated but what is."""
+    one, two = (("q" * 20 + "zyxwvuts" * 6)[:68] + w for w in TWINS)
+    assert one != two and len(one) == 100
+    for docs in ([(1, one), (2, two)], [(1, one), (2, two), (3, one)], [(1, f"{two}{one}"), (2, f"ab{one}"), (3, f"cd{two}")]):
+        rows = spark.createDataFrame(docs, "doc_id long, text string")
+        want, seen = {}, set()
+        for i, t in docs:
+            gone = set()
+            for a in range(len(t) - 99):
+                gone |= set(range(a, a + 100)) if t[a : a + 100] in seen else set()
+                seen.add(t[a : a + 100])
+            want[i] = len(gone)
+        for group in (1 << 12, 1):
+            assert {r["doc_id"]: r["n_removed"] for r in repeats.repeats_report(rows, 2, group).collect()} == want
+
+
+def test_word_numbers_are_exact():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.choice([97, 98, 0, 200], rng.integers(1, 12)).astype(np.uint8)) for _ in range(5000)] + [b"", b"a" * 7, b"a" * 8, b"a" * 7 + b"\0", b"\0", b"\0\0"]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    number, h = shared.word_numbers(raw, np.concatenate([[0], ends[:-1] + 1]), ends)
+    assert len(set(zip(words, number.tolist(), strict=True))) == len(set(words)) == len(set(number.tolist())) == len(set(h.tolist()))
+    assert (shared.word_hashes(raw, np.concatenate([[0], ends[:-1] + 1]), ends) == h).all()
+
+
 def test_decontamination_of_a_text_full_of_hits():
     """The places of many spans in one long text are found in one walk over it."""
     item = " ".join(f"w{i}" for i in range(10))
     block = decontaminate.make_block([(3, [w.encode() for w in item.split()])])
     text = f"{item} é , zz " * 140_000
     began = time.time()
-    n_words, found, items = decontaminate._shard(pa.array([text, None, item]), block, decontaminate._seen(block))
+    n_words, found, items = decontaminate._shard(pa.array([text, None, item]), block, decontaminate.Vocabulary(block.words))
     assert time.time() - began < 60 and len(text) > 5_000_000
     assert len(found[0]) == 140_000 and items == [[3], [], [3]] and n_words.tolist() == [1_680_000, 0, 10]
     for span in (found[0][0], found[0][31_234], found[0][-1]):

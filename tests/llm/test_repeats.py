@@ -91,7 +91,7 @@ def test_long_text_in_parts(spark, monkeypatch):
 
     ids = []
     for i, a, at in m._pieces(np.array([0, len(raw)])):
-        row, start, n, g, r = m._runs(np.frombuffer(raw, np.uint8)[a : a + at[-1]], at)
+        row, start, n, g, r = m._runs(np.frombuffer(raw, np.uint8)[a : a + at[-1]], at, b"key")
         ids += [x for s, k in zip((start + a).tolist(), n.tolist(), strict=True) for x in range(s, s + k)]
     assert ids == list(range(len(raw) - 99)) or sorted(ids) == list(range(len(raw) - 99))
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from parchment.llm import chat, licenses, quality, secrets, urls
 from parchment.llm.queries import SAMPLE
@@ -288,3 +289,49 @@ def test_quality_counts(spark, labelled):
     assert {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows} == {i: plain_counts(t) for i, t in enumerate(texts)}
     assert all(r["kept"] == (not r["base_failed"]) for r in rows)
     assert quality.quality(docs.limit(0), labels).collect() == []
+
+
+def test_patterns_take_time_in_proportion(spark):
+    """Texts of 5 MB that make a careless pattern start anew at each place, for every rule of secrets and for canonical urls."""
+    import time
+
+    from parchment.llm.secrets import RULES, find_secrets
+
+    n = 5_000_000
+    for unit in ("eyJaaaaaaaa-", "eyJaaaaaaaa-eyJ.", "eyJaaaaaaaa.", "password", "password   ", "token:", "-----BEGIN ", "-----BEGIN A", "AKIA", "0123456789abcdef0123456789abcde ", "ghp_", "ghp_aaaaaaaaa ", "secret=\"", "-", "_", "a"):
+        for text in (unit * (n // len(unit)), unit + " " * n, unit + "A" * n):
+            began = time.time()
+            find_secrets(text)
+            assert time.time() - began < 5, unit
+    assert {k for k, *_ in RULES} == {"assign", "access", "hex", "pem", "jwt", "github"}
+    began = time.time()
+    urls = [f"http://a.org{x}" for x in ("/" * n + "a", "/a" * (n // 2) + "/" * 9, "/x" + ".html" * (n // 5), "/x.html" + "/" * n, "?" + "&" * n)]
+    out = urls_(spark, urls)
+    assert time.time() - began < 60
+    assert [len(x) for x in out] == [5 + n + 1, 5 + n, 5 + 2 + n - 5, 5 + 2, 5]
+
+
+def urls_(spark, urls):
+    from parchment.llm.urls import canonical
+
+    return [r[0] for r in spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, url string").orderBy("k").select(canonical(F.col("url"))).collect()]
+
+
+def test_canonical_paths(spark):
+    import re
+
+    paths = ["", "/", "//", "/a", "/a/", "/a.html", "/a.htm//", "/a/.html", "/.htm", "/a.html.html/", "/a.htmlx", "/a.html/b", "/a.HTML", "/ö.html/", "/a.htm.htm", "/html", "/a html "]
+    assert urls_(spark, [f"x://h{p}" for p in paths]) == ["h" + re.sub(r"(\.html?)?/*\Z", "", p, count=1) for p in paths]
+
+
+def test_jwt_against_the_plain_pattern():
+    import random
+    import re
+
+    from parchment.llm.secrets import find_secrets
+
+    plain, rng = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", re.ASCII), random.Random(4)
+    parts = ["eyJ", "eyJabcdefgh", "a", "abcdefgh", ".", ".", "-", "_", " ", "é", "eyJ12345678.abcdefgh.x"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert [(a, b) for a, k, b in find_secrets(text) if k == "jwt"] == [m.span() for m in plain.finditer(text)], text

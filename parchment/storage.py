@@ -41,6 +41,23 @@ def forget(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _published(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at.rstrip('/')}/_published")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def latest(spark: SparkSession, at: str) -> int:
+    """The highest generation that was published in a store, 0 for none."""
+    path, system = _published(spark, at)
+    return max([0, *(int(x.getPath().getName()) for x in system.listStatus(path))]) if system.exists(path) else 0
+
+
+def publish(spark: SparkSession, at: str, generation: int) -> None:
+    """Makes a generation count, by one empty file of its number; fails if there is one already."""
+    path, system = _published(spark, at)
+    system.create(spark._jvm.org.apache.hadoop.fs.Path(path, str(generation)), False).close()
+
+
 def read_or_empty(spark: SparkSession, at: str, schema: str) -> DataFrame:
     """The Parquet rows there, none where there is no folder yet."""
     try:

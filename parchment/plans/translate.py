@@ -39,6 +39,12 @@ Do not complete an environment that the fragment leaves open, and do not output
 Use plain quotation marks, no backticks. Put no spaces between Chinese characters."""
 
 
+#: What is told of accepted answers, and to the translator.
+ACCEPTED = "accepted translation after repeated untranslated-English warnings. span: "
+STYLE = "accepted translation with changed non-structural LaTeX text commands"
+LEFT = "English prose was left: "
+
+
 class TranslationError(Exception):
     """status: an HTTP status, or None. retryable: whether another attempt may succeed."""
 
@@ -112,7 +118,7 @@ def request(terms=PRESERVED_TERMS, pairs=PREFERRED_TRANSLATIONS) -> Column:
 _ANSWERS = "output string, error string, http int, retryable boolean"
 
 
-def _asked(rows: DataFrame, translator: Callable[[str, str, str], str], wait: bool) -> DataFrame:
+def ask(rows: DataFrame, translator: Callable[[str, str, str], str], wait: bool) -> DataFrame:
     names = ["request", "chunk", "route", "pause"]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,29 +138,40 @@ def _asked(rows: DataFrame, translator: Callable[[str, str, str], str], wait: bo
     return rows.mapInArrow(asked, f"{schema}, {_ANSWERS}")
 
 
-def translate_items(items: DataFrame, translator, terms=PRESERVED_TERMS, pairs=PREFERRED_TRANSLATIONS, parallel: int | None = None, wait: bool = True) -> DataFrame:
+def outcomes(answers: DataFrame, terms=PRESERVED_TERMS) -> DataFrame:
+    """answers: chunk, output, error, and other columns. Adds what validated() adds, bad (an error, or a broken rule), reason (the rules, for the next request) and english (prose was left)."""
+    told = validated(answers.withColumn("output", F.coalesce("output", F.lit(""))), "chunk", "output", terms)
+    bad = F.col("error").isNotNull() | (F.size("violations") > 0)
+    commands = F.when(F.array_contains("violations", "commands"), F.concat(F.lit(": missing "), named(F.col("missing")), F.lit("; added "), named(F.col("added")))).otherwise("")
+    return told.withColumn("bad", bad).withColumn("english", ~bad & (F.col("untranslated") != "")).withColumn("reason", F.concat(F.array_join("violations", ", "), commands))
+
+
+def translate_items(items: DataFrame, translator, terms=PRESERVED_TERMS, pairs=PREFERRED_TRANSLATIONS, parallel: int | None = None, wait: bool = True, asked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """items: key (distinct), chunk, ctx_before, ctx_after, guide, route. Returns key, output, status (ok, failed), warning.
 
     An answer that breaks a rule is an error, and its rule is told in the next request; errors end a chunk after MAX_ERRORS,
     or at once where no other attempt can help. English prose left in the answer is told too, and accepted with a warning
     after MAX_UNTRANSLATED. At most MAX_ERRORS + MAX_UNTRANSLATED - 1 rounds follow. parallel: requests at a time, at most.
+    asked: in place of translator, rows with key, attempt, request and chunk to the same with output, error, http and retryable.
+    streaming.retries does the same as a stream, where waits hold no task.
     """
     start = items.select("key", "chunk", "ctx_before", "ctx_after", "guide", "route", F.lit("").alias("feedback"), F.lit(0).alias("errors"), F.lit(0).alias("left_english"), F.lit(0).alias("pause"))
     todo, done = stored(start, "items"), None
-    for _ in range(MAX_ERRORS + MAX_UNTRANSLATED - 1):
+    for k in range(MAX_ERRORS + MAX_UNTRANSLATED - 1):
         rows = todo.withColumn("request", request(terms, pairs))
-        answers = stored(_asked(rows.coalesce(parallel) if parallel else rows, translator, wait).drop("request"), "answers")
-        told = validated(answers.withColumn("output", F.coalesce("output", F.lit(""))), "chunk", "output", terms)
-        bad = F.col("error").isNotNull() | (F.size("violations") > 0)
-        english = ~bad & (F.col("untranslated") != "")
-        reason = F.concat(F.array_join("violations", ", "), F.when(F.array_contains("violations", "commands"), F.concat(F.lit(": missing "), named(F.col("missing")), F.lit("; added "), named(F.col("added")))).otherwise(""))
+        if asked:
+            answers = stored(asked(rows.withColumn("attempt", F.lit(k + 1))).drop("request", "attempt"), "answers")
+        else:
+            answers = stored(ask(rows.coalesce(parallel) if parallel else rows, translator, wait).drop("request"), "answers")
+        told = outcomes(answers, terms)
+        bad, english, reason = F.col("bad"), F.col("english"), F.col("reason")
         told = told.withColumn("errors", F.col("errors") + bad.cast("int")).withColumn("left_english", F.col("left_english") + english.cast("int"))
         over = bad & ((F.col("errors") >= MAX_ERRORS) | (F.col("error").isNotNull() & ~F.col("retryable")))
         status = F.when(over, "failed").when(~bad & (~english | (F.col("left_english") >= MAX_UNTRANSLATED)), "ok")
-        warning = F.when(over, F.coalesce("error", reason)).when(english, F.concat(F.lit("accepted translation after repeated untranslated-English warnings. span: "), "untranslated")).when(F.col("style_changed"), "accepted translation with changed non-structural LaTeX text commands")
+        warning = F.when(over, F.coalesce("error", reason)).when(english, F.concat(F.lit(ACCEPTED), "untranslated")).when(F.col("style_changed"), STYLE)
         judged = stored(
             told.withColumn("status", status).withColumn("warning", warning)
-            .withColumn("feedback", F.when(bad & F.col("error").isNull(), reason).when(english, F.concat(F.lit("English prose was left: "), "untranslated")).otherwise(F.col("feedback")))
+            .withColumn("feedback", F.when(bad & F.col("error").isNull(), reason).when(english, F.concat(F.lit(LEFT), "untranslated")).otherwise(F.col("feedback")))
             .withColumn("pause", F.when(F.col("error").isNotNull() & F.col("retryable"), delay(F.col("http"), F.col("errors"))).otherwise(0)),
             "judged",
         )

@@ -34,7 +34,7 @@ WINDOW = 10
 #: Words of the benchmark that one pass searches for.
 BLOCK_WORDS = 1 << 18
 #: Bytes of text in a shard; a longer text is one of its own.
-SHARD = 1 << 23
+SHARD = 1 << 21
 SPANS = "array<struct<first:int,last:int,start:int,end:int>>"
 SCHEMA = f"doc_id long, tag long, n_words long, spans {SPANS}, items array<long>"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .shared import ALNUM, LONG, LOWER, SHORT, chunks, cut_spans, free_names, merged_spans, packed_words, spans, stored, text_columns, utf8
+from .shared import ALNUM, LONG, LOWER, SHORT, chunks, cut_spans, free_names, freeing, merged_spans, packed_words, spans, stored, text_columns, utf8
 
 #: Words of a window.
 WINDOW = 10
@@ -199,7 +199,7 @@ def _search(docs: DataFrame, block: Block) -> DataFrame:
             n_words, found, items = _shard(texts, block, vocabulary)
             yield pa.RecordBatch.from_arrays([ids, tag, pa.array(n_words, pa.int64()), pa.array(found, span), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "tag", "n_words", "spans", "items"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(searched, SCHEMA)
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(freeing(searched), SCHEMA)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -241,7 +241,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     """docs without those that hold a window of an item. Rows are judged where they stand, by one block after the other."""
     schema = docs.schema
     for block in blocks(benchmark, window, block_words):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), schema)
+        docs = docs.mapInArrow(freeing(_clean(docs.sparkSession.sparkContext.broadcast(block))), schema)
     return docs
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import mixed, stored, text_columns
+from .shared import freeing, mixed, stored, text_columns
 
 #: Places in ROWS neighbouring rows from which a word counts as common; words whose ids go to all tasks, at most.
 COMMON, ROWS, MAX_WORDS = 3, 2000, 1 << 17
@@ -253,7 +253,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common_words(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """docs: text. Returns word, n: at most max_words, and the most frequent ones down to some power of two."""
-    words = stored(docs.select("text").mapInArrow(_common, "word string, n long").filter(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = stored(docs.select("text").mapInArrow(freeing(_common), "word string, n long").filter(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")), "words")
     level = F.floor(F.log2("n")).cast("int")
     left, least = max_words, 64
     for power, n in sorted(words.groupBy(level.alias("p")).count().collect(), reverse=True):  # 64 rows at most
@@ -401,7 +401,7 @@ def encode(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], names=[*batch.schema.names, "ids"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(mapped, f"{schema}, ids array<int>")
+    return docs.mapInArrow(freeing(mapped), f"{schema}, ids array<int>")
 
 
 def decode_ids(ids: list[int], model: Model) -> bytes:

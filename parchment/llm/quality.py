@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, chunks, mixed, slices, spans, text_columns, utf8, word_numbers
+from .shared import PLAIN, chunks, freeing, mixed, slices, spans, text_columns, utf8, word_numbers
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_ROWS = 1500
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     """
     picked = labels.select("doc_id", F.col("quality").cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    shares = sample.select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, grams array<int>, shares array<float>")
+    shares = sample.select("doc_id", "label", "text").mapInArrow(freeing(_features), "doc_id long, label int, grams array<int>, shares array<float>")
     ordered = shares.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     row = ordered.mapInArrow(_fitted, "weights binary, intercept double, slope double, shift double").first()
     if row is None:  # no labelled rows, and so no task
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
             ids, texts = text_columns(batch, "doc_id", "text")
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, _judged(texts, model, keep_at))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(freeing(scored), SCHEMA)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
@@ -239,7 +239,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
         for batch in slices(batches):
             yield batch.filter(pa.array(_judged(text_columns(batch, "text")[0], model, keep_at)[6]))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(freeing(kept), docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep_at: float = KEEP_AT) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..storage import read_or_empty
 from .bloom import bloom_filter, with_maybe
-from .shared import cut_spans, free_names, merged_spans, new_path, stored, text_columns
+from .shared import cut_spans, free_names, freeing, merged_spans, new_path, stored, text_columns
 
 #: Fixed values, the base rules: kind, words of which a text has one in lower case, pattern, least length of its last group.
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -123,7 +123,7 @@ def scan(history: DataFrame, at: str, rules=RULES) -> str:
     here = dealt.filter("not shared").select("blob", "text")
     wanted = _among(dealt.filter("shared").select("blob", "text"), unseen, "wanted").filter("wanted").select("blob", "text")
     once = wanted.join(unseen, "blob", "left_semi").dropDuplicates(["blob"])
-    here.unionByName(once).mapInArrow(_scan(rules), LEDGER).write.mode("append").parquet(f"{at}/blobs")
+    here.unionByName(once).mapInArrow(freeing(_scan(rules)), LEDGER).write.mode("append").parquet(f"{at}/blobs")
     return run
 
 

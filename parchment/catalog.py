@@ -316,8 +316,9 @@ def conditional_depth(spark, sf_dir):
 with l as (select doc_id, generate_subscripts(x, 1) - 1 line_no, unnest(x) line from (select doc_id, string_split(tex, chr(10)) x from {_S}))
 select doc_id, line_no::int line_no, md5(first_value(case when trim(line, ' ') <> '' then line end ignore nulls) over (partition by doc_id order by line_no rows between 1 following and unbounded following)) next_md5 from l""")
 def next_nonblank(spark, sf_dir):
-    lines = intervals.text_lines(sources(spark, sf_dir), ["doc_id"], "tex")
-    return intervals.next_nonblank(lines, ["doc_id"]).select("doc_id", "line_no", F.md5("next_line").alias("next_md5"))
+    lines = F.split("tex", "\n", -1)
+    told = sources(spark, sf_dir).select("doc_id", F.posexplode(intervals.next_nonblank(lines)).alias("line_no", "next_line"))
+    return told.select("doc_id", "line_no", F.md5("next_line").alias("next_md5"))
 
 
 @query(f"select doc_id::varchar paper_id, p::bigint pos, level, trim(regexp_replace(h, '\\s+', ' ', 'g')) heading from (select doc_id, unnest([1, 2]) p, unnest(['section', 'subsection']) as level, unnest(['On ' || source || ' in ' || lang, 'Numbers  ' || n_chars]) h from {_S})")

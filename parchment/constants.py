@@ -26,6 +26,9 @@ MATH_ENVIRONMENTS = ("equation", "align", "gather", "multline", "split", "cases"
 IDENTIFIER_COMMANDS = (
     "label", "ref", "eqref", "cref", "Cref", "autoref", "cite", "citep", "citet", "citealp", "citealt", "citeauthor", "citeyear", "citeyearpar",
 )
+#: Marks, and conjunctions of English and Chinese, that may stand between two citations which are one list.
+SEPARATORS = ",;，；、"
+CONJUNCTIONS = ("and", "or", "和", "与", "及", "以及", "或", "或者")
 #: Commands of fonts and text style, which a translation may drop or add.
 TEXT_STYLE = (
     "bf", "em", "emph", "it", "md", "rm", "sc", "sf", "sl", "textbf", "textit", "textmd", "textnormal", "textrm", "textsc",

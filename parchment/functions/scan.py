@@ -144,6 +144,20 @@ _TOKEN = regex.compile(
 )
 
 
+def boundary_tokens(text: str):
+    r"""What changes the state of a boundary check: (`begin` or `end`, name), (`formula`, \\( \\) \\[ \\] $ or $$) and (`group`, a brace or bracket)."""
+    for m in _TOKEN.finditer(text):
+        if m["env"]:
+            if m["name"] != "document":
+                yield m["env"], m["name"]
+        elif m["math"]:
+            yield "formula", "\\" + m["math"]
+        elif m["dollar"]:
+            yield "formula", m["dollar"]
+        elif m["group"]:
+            yield "group", m["group"]
+
+
 class Boundary:
     """Whether the text fed so far may end a chunk: all groups, environments and formulas are closed."""
 

@@ -21,13 +21,20 @@ def history_key(line: Column) -> Column:
 
 
 def history(lines: DataFrame, limit: int = HISTORY) -> DataFrame:
-    """lines: pos, line. The last line of each key in the order of the positions, the latest limit of them."""
-    rows = lines.withColumn("line", F.trim("line")).filter("line <> ''")
-    return first_of_key(rows, history_key(F.col("line")), [F.desc("pos")]).orderBy(F.desc("pos")).limit(limit)
+    """lines: pos, line. The last line of each key in the order of the positions, the latest limit of them.
+
+    A partition's rows of one key are one row before the shuffle, and a partition's latest limit rows are all that is sorted together.
+    """
+    rows = lines.select("pos", F.trim("line").alias("line")).filter("line <> ''")
+    last = rows.groupBy(history_key(F.col("line")).alias("_key")).agg(F.max(F.struct("pos", "line")).alias("_last"))
+    return last.select("_last.pos", "_last.line").orderBy(F.desc("pos")).limit(limit)
 
 
 def history_appended(lines: DataFrame, new: DataFrame, limit: int = HISTORY) -> DataFrame:
-    """new: lines with positions after those of lines."""
+    """lines: a history of that limit, in place of all lines that it was made of; new: lines with positions after those.
+
+    The same as the history of all: a key that fell out of the latest limit comes back with a new line only.
+    """
     return history(lines.unionByName(new), limit)
 
 

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from ..constants import CHUNK_CHARS, CONTEXT_CHARS, PREFERRED_TRANSLATIONS, PRESERVED_TERMS
 from ..functions.scan import restore_udf
+from ..operators.answers import Answers
 from ..operators.chunking import reassemble, work_items
 from ..operators.documents import clean_files
 from ..operators.validate import named, validated
-from ..schema import CACHE
 from ..sources.lists import Config
-from ..storage import new_path, read_or_empty, stored
+from ..storage import new_path, observed, stored
 from .guide import preferred_prompt, preserved_prompt
 
 #: Errors, and answers with English prose left, after which a chunk's attempts end.
@@ -45,6 +45,14 @@ STYLE = "accepted translation with changed non-structural LaTeX text commands"
 LEFT = "English prose was left: "
 
 
+#: Told, after each step, what was counted (chunks known, answered or translated), how many, and of how many.
+Progress = Callable[[str, int, int], None]
+
+
+def quiet(what: str, done: int, total: int) -> None:
+    pass
+
+
 class TranslationError(Exception):
     """status: an HTTP status, or None. retryable: whether another attempt may succeed."""
 
@@ -146,7 +154,7 @@ def outcomes(answers: DataFrame, terms=PRESERVED_TERMS) -> DataFrame:
     return told.withColumn("bad", bad).withColumn("english", ~bad & (F.col("untranslated") != "")).withColumn("reason", F.concat(F.array_join("violations", ", "), commands))
 
 
-def translate_items(items: DataFrame, translator, terms=PRESERVED_TERMS, pairs=PREFERRED_TRANSLATIONS, parallel: int | None = None, wait: bool = True, asked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def translate_items(items: DataFrame, translator, terms=PRESERVED_TERMS, pairs=PREFERRED_TRANSLATIONS, parallel: int | None = None, wait: bool = True, asked: Callable[[DataFrame], DataFrame] | None = None, progress: Progress = quiet) -> DataFrame:
     """items: key (distinct), chunk, ctx_before, ctx_after, guide, route. Returns key, output, status (ok, failed), warning.
 
     An answer that breaks a rule is an error, and its rule is told in the next request; errors end a chunk after MAX_ERRORS,
@@ -155,8 +163,10 @@ def translate_items(items: DataFrame, translator, terms=PRESERVED_TERMS, pairs=P
     asked: in place of translator, rows with key, attempt, request and chunk to the same with output, error, http and retryable.
     streaming.retries does the same as a stream, where waits hold no task.
     """
+    count = F.count(F.lit(1))
     start = items.select("key", "chunk", "ctx_before", "ctx_after", "guide", "route", F.lit("").alias("feedback"), F.lit(0).alias("errors"), F.lit(0).alias("left_english"), F.lit(0).alias("pause"))
-    todo, done = stored(start, "items"), None
+    (todo, told), done, n_done = observed(start, "items", total=count), None, 0
+    total = told["total"]
     for k in range(MAX_ERRORS + MAX_UNTRANSLATED - 1):
         rows = todo.withColumn("request", request(terms, pairs))
         if asked:
@@ -169,21 +179,23 @@ def translate_items(items: DataFrame, translator, terms=PRESERVED_TERMS, pairs=P
         over = bad & ((F.col("errors") >= MAX_ERRORS) | (F.col("error").isNotNull() & ~F.col("retryable")))
         status = F.when(over, "failed").when(~bad & (~english | (F.col("left_english") >= MAX_UNTRANSLATED)), "ok")
         warning = F.when(over, F.coalesce("error", reason)).when(english, F.concat(F.lit(ACCEPTED), "untranslated")).when(F.col("style_changed"), STYLE)
-        judged = stored(
+        judged, seen = observed(
             told.withColumn("status", status).withColumn("warning", warning)
             .withColumn("feedback", F.when(bad & F.col("error").isNull(), reason).when(english, F.concat(F.lit(LEFT), "untranslated")).otherwise(F.col("feedback")))
             .withColumn("pause", F.when(F.col("error").isNotNull() & F.col("retryable"), delay(F.col("http"), F.col("errors"))).otherwise(0)),
-            "judged",
+            "judged", over=F.count_if(F.col("status").isNotNull()),
         )
         new = judged.filter("status is not null").select("key", F.when(F.col("status") == "ok", F.col("output")).alias("output"), "status", "warning")
+        n_done += seen["over"]
+        progress("answered", n_done, total)
         done = new if done is None else done.unionByName(new)
         todo = judged.filter("status is null").select(*start.columns)
-        if todo.isEmpty():
+        if n_done == total:
             break
     return done
 
 
-def translate_papers(files: DataFrame, guides: DataFrame | None, translator, cache: str | None = None, limit: int = CHUNK_CHARS, context: int = CONTEXT_CHARS, terms=PRESERVED_TERMS, pairs=PREFERRED_TRANSLATIONS, parallel: int | None = None, wait: bool = True) -> tuple[DataFrame, DataFrame]:
+def translate_papers(files: DataFrame, guides: DataFrame | None, translator, cache: str | None = None, limit: int = CHUNK_CHARS, context: int = CONTEXT_CHARS, terms=PRESERVED_TERMS, pairs=PREFERRED_TRANSLATIONS, parallel: int | None = None, wait: bool = True, progress: Progress = quiet) -> tuple[DataFrame, DataFrame]:
     """files: paper_id, path, text. guides: paper_id, guide. cache: a folder of answers, None for a new one.
 
     Returns all files, translated ones with their new text, cleaned or as they were otherwise; and messages (paper_id,
@@ -195,15 +207,18 @@ def translate_papers(files: DataFrame, guides: DataFrame | None, translator, cac
     told = work_items(clean.filter("skip_reason is null"), limit, context)
     told = told.join(guides.select("paper_id", "guide"), "paper_id", "left") if guides is not None else told.withColumn("guide", F.lit(""))
     items = stored(cache_key(told, translator.model, terms, pairs), "keyed")
-    known = read_or_empty(spark, cache, CACHE).dropDuplicates(["key"]).select("key", "output", "warning")
+    answers = Answers(spark, cache)
+    known = answers.look_up(items).select("key", "output", "warning")
     # a cached answer that no longer passes is a miss
     hits = validated(items.dropDuplicates(["key"]).select("key", "chunk").join(known, "key"), "chunk", "output").filter("size(violations) = 0").select("key", "output", F.lit("ok").alias("status"), "warning")
-    hits = stored(hits, "hits")
+    hits, seen = observed(hits, "hits", n=F.count(F.lit(1)))
+    progress("known", seen["n"], seen["n"])
     misses = items.dropDuplicates(["key"]).join(hits, "key", "left_anti")
-    fresh = stored(translate_items(misses, translator, terms, pairs, parallel, wait), "fresh")
-    fresh.filter("status = 'ok'").select("key", "output", "warning", F.lit(translator.model).alias("model")).write.mode("append").parquet(cache)
+    fresh = stored(translate_items(misses, translator, terms, pairs, parallel, wait, progress=progress), "fresh")
+    answers.put(fresh.filter("status = 'ok'").select("key", "output", "warning", F.lit(translator.model).alias("model")))
     results = items.join(hits.unionByName(fresh), "key", "left").select("paper_id", "path", "idx", F.coalesce("output", "chunk").alias("output"), "status", "warning")
-    results = stored(results, "results")
+    results, seen = observed(results, "results", ok=F.count_if(F.col("status") == "ok"), n=F.count(F.lit(1)))
+    progress("translated", seen["ok"], seen["n"])
     translated = reassemble(results, clean)
     others = clean.join(translated.select("paper_id", "path"), ["paper_id", "path"], "left_anti").select("paper_id", "path", restore_udf(F.col("text"), F.col("blocks")).alias("text"))
     styles = files.join(clean.select("paper_id", "path"), ["paper_id", "path"], "left_anti").select("paper_id", "path", "text")

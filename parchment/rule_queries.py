@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .catalog import Template, table
 from .functions import scan
 from .functions import text as text_
-from .operators import chunking, intervals
+from .operators import boundaries, chunking, intervals
+from .operators.answers import Answers
 from .plans import guide, translate
 from .rules import compat, document
 from .sources import archives
@@ -308,6 +309,18 @@ select doc_id, len(c)::bigint n_chunks, array_to_string(list_transform(c, lambda
 )
 
 
+def safe_chunks_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks by summaries of paragraphs, combined in blocks of three."""
+    rows = table(spark, sf_dir, "documents").withColumn("text", _plain("text")).select("doc_id", _PACKED.column.alias("tex"))
+    found = boundaries.safe_chunks(rows, ["doc_id"], 700, "tex", block=3)
+    lengths = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "offset", "length"))).alias("c"))
+    cut = rows.join(lengths, "doc_id").withColumn("x", F.transform("c", lambda c: F.substring(F.col("tex"), (c["offset"] + 1).cast("int"), c["length"].cast("int"))))
+    return cut.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.array_join(F.transform("c", lambda c: c["length"].cast("string")), ",").alias("lengths"), F.md5(F.array_join("x", "")).alias("text_md5"))
+
+
+register("safe_chunks_scanned", safe_chunks_scanned, SQL["safe_chunks"])
+
+
 def expression(name: str, cases: Cases, apply: Callable[[Column], Column], sql: str, column: str) -> None:
     """Registers a query of one value for each document; sql is an expression over tex."""
 
@@ -436,7 +449,7 @@ def translation_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "lang", F.lit("main.tex").alias("path"), _prose("text").alias("text")).dropna()
     cache, translator = new_path(spark, "answers"), translate.DictionaryTranslator((("the", "此"),))
     translate.translate_papers(papers.filter("lang = 'en'").select("paper_id", "path", "text"), None, translator, cache, wait=False)
-    known = spark.read.parquet(cache).select("key").distinct()
+    known = Answers(spark, cache).all().select("key")
     done, _ = translate.translate_papers(papers.select("paper_id", "path", "text"), None, translator, cache, wait=False)
     again = spark.read.parquet(cache).groupBy("key").agg(F.count("*").alias("n")).join(known, "key").agg(F.sum("n") - F.count("*")).first()[0]  # one number
     return done.select("paper_id", F.md5("text").alias("text_md5"), F.lit(again).cast("long").alias("n_asked_again"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Template, table
+from .operators.answers import Answers
 from .plans import translate
 from .storage import new_path
 from .streaming import retries
@@ -66,3 +67,20 @@ def translation_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = retries.TranslationStream(spark, new_path(spark, "retries"), asked=_scripted, clock=retries.LeapingClock())
     stream.add(_items(spark, sf_dir))
     return stream.run().select("key", "status", "attempts", "waited", "warning", "output")
+
+
+@query("""
+with d as (select sha256(coalesce(text, '')) as key, lang, md5(coalesce(text, '')) t, doc_id from documents),
+p as (select key, 1 turn, t || ' one' output from d where lang = 'en' union select key, 2, t || ' two' from d where doc_id % 3 = 0 union select key, 3, t || ' three' from d where lang = 'fr')
+select key, max_by(output, turn) output from p group by key""")
+def answers_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to some texts put three times, two puts merged before the third: each text's latest answer, looked up by the keys of all texts."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(F.sha2(text, 256).alias("key"), F.md5(text).alias("t"), "lang", "doc_id")
+    answers = Answers(spark, new_path(spark, "answers"))
+    put = lambda rows, word: answers.put(rows.select("key", F.concat("t", F.lit(word)).alias("output"), F.lit(None).cast("string").alias("warning"), F.lit("m").alias("model")))
+    put(docs.filter("lang = 'en'"), " one")
+    put(docs.filter("doc_id % 3 = 0"), " two")
+    answers.compact()
+    put(docs.filter("lang = 'fr'"), " three")
+    return answers.look_up(docs.select("key")).select("key", "output")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """stored(), and what aggregates of its rows were as they were written: no pass of their own."""
+    seen = Observation(name)
+    out = stored(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), name)
+    return out, seen.get
+
+
 def forget(spark: SparkSession, at: str) -> None:
     """Deletes a scratch table that nothing will read again."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -49,13 +56,33 @@ def _published(spark: SparkSession, at: str):
 def latest(spark: SparkSession, at: str) -> int:
     """The highest generation that was published in a store, 0 for none."""
     path, system = _published(spark, at)
-    return max([0, *(int(x.getPath().getName()) for x in system.listStatus(path))]) if system.exists(path) else 0
+    names = [x.getPath().getName() for x in system.listStatus(path)] if system.exists(path) else []
+    return max([0, *(int(n) for n in names if n.isdigit())])
 
 
-def publish(spark: SparkSession, at: str, generation: int) -> None:
-    """Makes a generation count, by one empty file of its number; fails if there is one already."""
+def published(spark: SparkSession, at: str, generation: int) -> str:
+    """What was published with a generation."""
     path, system = _published(spark, at)
-    system.create(spark._jvm.org.apache.hadoop.fs.Path(path, str(generation)), False).close()
+    stream = system.open(spark._jvm.org.apache.hadoop.fs.Path(path, str(generation)))
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, at: str, generation: int, content: str = "") -> None:
+    """Makes a generation count, by one file of its number; fails if there is one already."""
+    path, system = _published(spark, at)
+    own = spark._jvm.org.apache.hadoop.fs.Path(path, f"_{generation}-{uuid.uuid4().hex}")
+    stream = system.create(own, False)
+    try:
+        stream.write(bytearray(content.encode()))
+    finally:
+        stream.close()
+    # readers see the file with all that is in it, or not at all
+    number = spark._jvm.org.apache.hadoop.fs.Path(path, str(generation))
+    if system.exists(number) or not system.rename(own, number):
+        raise FileExistsError(f"generation {generation} of {at} exists")
 
 
 def read_or_empty(spark: SparkSession, at: str, schema: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from parchment.operators import chunking, distinct, documents, intervals, validate
@@ -21,6 +23,58 @@ def test_spans(spark):
     assert [r.x for r in hit.collect()] == [False, True, False]
 
 
+def test_spans_in_ranges(spark):
+    """Whatever the number of ranges, keys and overlaps: as a walk over each key's spans; keys may be null."""
+    rng = random.Random(7)
+    for parts, reach in ((1, 9), (3, 3), (7, 40), (16, 400)):
+        spans = [(rng.choice(["a", "a", "a", None, "b", "c"]), rng.randrange(2), a := rng.randrange(1000), a + rng.randrange(reach)) for _ in range(500)]
+        spans += [("one", 0, 0, 5000), ("one", 0, 10, 20), ("one", 0, 4000, 4001)] + [("one", 0, a, a + 1) for a in range(100, 900, 7)]
+        want = []
+        for key in {s[:2] for s in spans}:
+            merged = []
+            for _, _, a, b in sorted(s for s in spans if s[:2] == key):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            want += [(str(key[0]), key[1], a, b) for a, b in merged]
+        df = spark.createDataFrame(spans, "k string, m int, start int, end int").repartition(5)
+        got = intervals.merge_spans(df, ["k", "m"], parts).collect()
+        assert sorted((str(r["k"]), r["m"], r["start"], r["end"]) for r in got) == sorted(want)
+    assert intervals.merge_spans(df.limit(0), ["k", "m"]).collect() == []
+
+
+def test_one_keys_spans_are_many_tasks_work(spark):
+    """A single key of 200,000 spans lies in as many ranges as there are, none with more than three times its share."""
+    df = spark.range(200_000).select(F.lit("k").alias("k"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + F.when(F.col("id") % 1000 == 0, 9).otherwise(1)).alias("end"))
+    merged = intervals.merge_spans(df, ["k"], 8)
+    assert merged.count() == 200_000 - 3 * 200
+    ranged = df.repartitionByRange(8, "k", "start").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranged) == 8 and max(r["count"] for r in ranged) < 75_000
+
+
+def test_next_nonblank(spark):
+    rng = random.Random(2)
+    texts = ["", "a", "\n", "a\n\n b\n \n", *("\n".join(rng.choice(["", " ", "x", " y"]) for _ in range(n)) for n in (5, 300, 700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for k, got in df.select("k", intervals.next_nonblank(F.split("t", "\n", -1)).alias("n")).collect():
+        lines = texts[k].split("\n")
+        assert got == [next((x for x in lines[i + 1 :] if x.strip(" ")), None) for i in range(len(lines))]
+
+
+def test_appended_histories(spark):
+    """Appending to a kept history of some lines gives the history of all; no window is in the plan."""
+    rng = random.Random(5)
+    lines = [(i, rng.choice([f"2401.{rng.randrange(40):05d}", f"https://arxiv.org/abs/2401.{rng.randrange(40):05d}", f"word {rng.randrange(30)}", " "])) for i in range(600)]
+    df = lambda some: spark.createDataFrame(some, "pos long, line string")
+    kept = df(lines[:0])
+    for k in range(0, 600, 200):
+        kept = df([tuple(r) for r in distinct.history_appended(kept, df(lines[k : k + 200]), 20).collect()])
+    whole = distinct.history(df(lines), 20)
+    assert rows(kept, "pos", "line") == rows(whole, "pos", "line") and kept.count() == 20
+    assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
 def test_conditional_depth(spark):
     text = "\\fi\n\\iftrue x\n\\ifx\ny\n\\fi z\n\\fill\n\\fi\nend"
     lines = intervals.text_lines(spark.createDataFrame([(1, text)], "k int, text string"), ["k"])

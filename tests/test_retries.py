@@ -54,3 +54,13 @@ def test_no_task_sleeps():
     """Only the driver's clock waits."""
     code = inspect.getsource(retries)
     assert code.count("time.sleep") == 2 and "time.sleep" in inspect.getsource(retries.Clock) and "time.sleep" not in inspect.getsource(retries.Retries)
+
+
+def test_progress(spark):
+    """The counts of a run, as it goes: what rounds leave, and what they end."""
+    rows = [(str(k), f"These results hold for every single case which the authors have studied within their longest paper \\emph{{x}} & {k}", "", "", "", "main") for k in range(20)]
+    items = spark.createDataFrame(rows, "key string, chunk string, ctx_before string, ctx_after string, guide string, route string")
+    seen = []
+    translate_items(items, None, asked=state_queries._scripted, progress=lambda *told: seen.append(told))
+    # scripts of one, two, three and five answers: 4, 4, 10 and 2 of the 20 chunks
+    assert seen == [("answered", 4, 20), ("answered", 8, 20), ("answered", 18, 20), ("answered", 18, 20), ("answered", 20, 20)]

@@ -9,6 +9,7 @@ with the filters' rows first, and then reads only those buckets in which the fil
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from dataclasses import asdict, dataclass
@@ -119,6 +120,11 @@ class Answers:
         tables = self.tables()
         return self._latest([(k, self._rows(t)) for k, t in enumerate(tables)]) if tables else self.spark.createDataFrame([], CACHE)
 
+    def puts(self) -> DataFrame:
+        """key of every answer of every table that counts: a key as often as it was put since the tables were merged."""
+        rows = [self._rows(t).select("key") for t in self.tables()]
+        return functools.reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], "key string")
+
     def compact(self) -> None:
         """Makes one table of all; the old ones stay until vacuum()."""
         if len(self.tables()) > 1:

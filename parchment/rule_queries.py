@@ -451,7 +451,7 @@ def translation_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     translate.translate_papers(papers.filter("lang = 'en'").select("paper_id", "path", "text"), None, translator, cache, wait=False)
     known = Answers(spark, cache).all().select("key")
     done, _ = translate.translate_papers(papers.select("paper_id", "path", "text"), None, translator, cache, wait=False)
-    again = spark.read.parquet(cache).groupBy("key").agg(F.count("*").alias("n")).join(known, "key").agg(F.sum("n") - F.count("*")).first()[0]  # one number
+    again = Answers(spark, cache).puts().groupBy("key").agg(F.count("*").alias("n")).join(known, "key").agg(F.sum("n") - F.count("*")).first()[0]  # one number
     return done.select("paper_id", F.md5("text").alias("text_md5"), F.lit(again).cast("long").alias("n_asked_again"))
 
 

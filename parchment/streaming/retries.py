@@ -14,11 +14,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -33,6 +32,8 @@ EVENTS = (
 STEPS = "key string, kind string, attempt int, feedback string, due timestamp, status string, output string, warning string, waited long"
 STATE = "attempt int, errors int, left_english int, feedback string, waited long"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What the processor gives: times as milliseconds, which no time zone changes.
+_GIVEN = STEPS.replace("due timestamp", "due long")
 _COLUMNS = [x.split()[0] for x in STEPS.split(", ")]
 
 
@@ -79,52 +80,48 @@ class Retries(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("attempts", STATE)
 
     def _known(self) -> Attempts | None:
-        return Attempts(*self.state.get()) if self.state.exists() else None
+        held = self.state.get()
+        return None if held is None else Attempts(*held)
 
     def _keep(self, known: Attempts) -> None:
         self.state.update((known.attempt, known.errors, known.left_english, known.feedback, known.waited))
 
     @staticmethod
-    def _step(key, kind: str, known: Attempts, **more) -> dict:
-        return dict.fromkeys(_COLUMNS) | {"key": key[0], "kind": kind, "attempt": known.attempt, "feedback": known.feedback, "waited": known.waited} | more
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for batch in rows:
-            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-                known = self._known()
-                if row.kind == "item" and known is None:
-                    known = Attempts()
-                    self._keep(known)
-                    out.append(self._step(key, "request", known))
-                elif row.kind == "answer" and known is not None and row.attempt == known.attempt:
-                    what, more = known.after(row)
-                    if what == "done":
-                        # the attempt that ended it; a key that is done has no state, so nothing asks for it again
-                        known.attempt -= 1
-                        self.state.clear()
-                        out.append(self._step(key, "done", known, **more))
-                    elif more["seconds"]:
-                        due = row.at + timedelta(seconds=more["seconds"])
-                        known.waited += more["seconds"]
-                        self._keep(known)
-                        self.handle.registerTimer(int(due.timestamp() * 1000))
-                        out.append(self._step(key, "wait", known, due=due))
-                    else:
-                        self._keep(known)
-                        out.append(self._step(key, "request", known))
-        yield _frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _step(key, kind: str, known: Attempts, **more) -> Row:
+        told = {"key": key[0], "kind": kind, "attempt": known.attempt, "feedback": known.feedback, "waited": known.waited} | more
+        return Row(**{c: told.get(c) for c in _COLUMNS})
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # a call of the state crosses to the JVM and back, so a key's rows share one reading and one writing
+        known = before = self._known()
+        for row in rows:
+            if row.kind == "item" and known is None:
+                known = Attempts()
+                yield self._step(key, "request", known)
+            elif row.kind == "answer" and known is not None and row.attempt == known.attempt:
+                known = replace(known)
+                what, more = known.after(row)
+                if what == "done":
+                    # the attempt that ended it; a key that is done has no state, so nothing asks for it again
+                    known.attempt -= 1
+                    yield self._step(key, "done", known, **more)
+                    known = None
+                elif more["seconds"]:
+                    due = row.ms + 1000 * more["seconds"]
+                    known.waited += more["seconds"]
+                    self.handle.registerTimer(due)
+                    yield self._step(key, "wait", known, due=due)
+                else:
+                    yield self._step(key, "request", known)
+        if known is None and before is not None:
+            self.state.clear()
+        elif known is not None and known is not before:
+            self._keep(known)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self._known()
-        yield _frame([] if known is None else [self._step(key, "request", known)])
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS).astype(object)
-    out["due"] = pd.to_datetime(out["due"])
-    out["attempt"], out["waited"] = out["attempt"].astype("int32"), out["waited"].astype("int64")
-    return out
+        if known is not None:
+            yield self._step(key, "request", known)
 
 
 class Clock:
@@ -208,10 +205,18 @@ class TranslationStream:
         events = self.spark.readStream.schema(EVENTS).option("recursiveFileLookup", "true").parquet(f"{self.at}/events")
         # the time at which events end is theirs of all keys, so the clock's own events move it on
         stepped = (
-            events.withWatermark("at", "0 seconds").groupBy("key")
-            .transformWithStateInPandas(statefulProcessor=Retries(), outputStructType=STEPS, outputMode="append", timeMode="EventTime")
-        )
-        return stepped.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.at}/checkpoint").outputMode("append").start()
+            events.withWatermark("at", "0 seconds").withColumn("ms", F.unix_millis("at")).groupBy("key")
+            .transformWithState(statefulProcessor=Retries(), outputStructType=_GIVEN, outputMode="append", timeMode="EventTime")
+        ).withColumn("due", F.timestamp_millis("due"))
+        started = stepped.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.at}/checkpoint").outputMode("append")
+        # every micro-batch has a task with a store for each partition, however few keys it brings: as many as run at a time are enough
+        key = "spark.sql.shuffle.partitions"
+        partitions = self.spark.conf.get(key)
+        self.spark.conf.set(key, min(int(partitions), self.spark.sparkContext.defaultParallelism))
+        try:
+            return started.start()
+        finally:
+            self.spark.conf.set(key, partitions)
 
     def run(self) -> DataFrame:
         """Goes on until every chunk that was added has its result, which it returns."""

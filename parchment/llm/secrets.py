@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..storage import read_or_empty
 from .bloom import bloom_filter, with_maybe
-from .shared import cut_spans, free_names, freeing, merged_spans, new_path, stored, text_columns
+from .shared import cut_spans, free_names, freeing, merged_spans, new_path, slices, stored, text_columns
 
 #: Fixed values, the base rules: kind, words of which a text has one in lower case, pattern, least length of its last group.
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,6 +47,10 @@ LEDGER = f"blob string, rules string, spans {SPANS}"
 VERSIONS = "path long, version long, blob string, run string"
 
 
+#: Texts that a worker scans at a time.
+ROWS = 256
+
+
 def rules_version(rules=RULES) -> str:
     """A digest of the rules; other rules make every blob unseen again."""
     return hashlib.sha256(repr([(k, w, p.pattern, p.flags, n) for k, w, p, n in rules]).encode()).hexdigest()[:16]
@@ -83,7 +87,7 @@ def _scan(rules):
     version = rules_version(rules)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             blobs, texts = text_columns(batch, "blob", "text")
             spans = [[{"start": a, "kind": k, "end": b} for a, k, b in find_secrets(t.as_py() or "", rules)] for t in texts]
             yield pa.RecordBatch.from_arrays([blobs, pa.array([version] * len(spans), pa.string()), pa.array(spans, kind)], names=["blob", "rules", "spans"])

@@ -205,13 +205,16 @@ def english_prose(text: Column, terms: tuple[str, ...] = PRESERVED_TERMS) -> Col
 
 def percent_escaped(text: Column) -> Column:
     """Percent signs behind numbers escaped, but for lines that set pdfTeX's own parameters."""
-    fixed = lambda line: F.regexp_replace(line, r"(?<!\\)([0-9])\s*%", r"$1\\%")
+    fixed = lambda part: F.regexp_replace(part, r"([0-9])(?<!\\[0-9])[ \t\x0B\f\r]*%", r"$1\\%")
+    # line by line only where there may be such a line
     lines = F.transform(F.split(text, "\n", -1), lambda line: F.when(F.rlike(line, F.lit(r"^\s*\\(?:pdfoutput|pdfminorversion)\b")), line).otherwise(fixed(line)))
-    return F.array_join(lines, "\n")
+    own = F.contains(text, F.lit(r"\pdfoutput")) | F.contains(text, F.lit(r"\pdfminorversion"))
+    return F.when(own, F.array_join(lines, "\n")).otherwise(fixed(text))
 
 
 def px_as_pt(text: Column) -> Column:
-    return F.regexp_replace(text, r"(-?[0-9]+(?:\.[0-9]+)?)\s*px\b", "$1pt")
+    # of a number its last digit tells, so that a long one is not tried from each of its digits
+    return F.regexp_replace(text, r"([0-9])\s*px\b", "$1pt")
 
 
 def accents_dropped(text: Column) -> Column:
@@ -236,8 +239,9 @@ def mended(text: Column, pattern: str, change, shift: int = 0) -> Column:
 
     A pattern with groups of its own numbers them from 2, as for a pattern in parentheses, and gives their number as shift.
     """
+    # zipped, as a lambda would find all matches anew for each part
     found = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), change)
-    return F.array_join(F.transform(F.split(text, f"({pattern})" if shift else pattern, -1), lambda x, i: F.concat(x, F.coalesce(F.get(found, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(F.split(text, f"({pattern})" if shift else pattern, -1), found, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
 
 
 def first_replaced(text: Column, pattern: str, replacement: str) -> Column:

@@ -7,6 +7,7 @@ repeats or lazy dots, and hold for lines of any length. `(?d)` makes only \n end
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def has_unescaped(text: Column, character: str) -> Column:
 
 def visible(text: Column) -> Column:
     """Every line without its comment; line ends stay."""
-    return F.regexp_replace(text, r"(?d)(?<!\\)((?:\\\\)*+)%[^\n]*", "$1")
+    return F.regexp_replace(text, r"(?d)(?=[\\%])(?<!\\)((?:\\\\)*+)%[^\n]*", "$1")
 
 
 def without_comments(text: Column) -> Column:
@@ -76,12 +77,12 @@ def without_comments(text: Column) -> Column:
 
 def unescaped_count(text: Column, character: str, seen: Column | None = None) -> Column:
     """Comments left out; seen: what visible() gives for text, where the caller has it."""
-    return F.regexp_count(visible(text) if seen is None else seen, F.lit(r"(?<!\\)(?:\\\\)*+" + character))
+    return F.regexp_count(visible(text) if seen is None else seen, F.lit(rf"(?=[\\{character}])(?<!\\)(?:\\\\)*+{character}"))
 
 
 def commands(text: Column, seen: Column | None = None) -> Column:
     """Names of all commands in order, comments left out."""
-    return F.regexp_extract_all(visible(text) if seen is None else seen, F.lit(r"(?<!\\)\\([A-Za-z@]+)"), F.lit(1))
+    return F.regexp_extract_all(visible(text) if seen is None else seen, F.lit(r"\\(?<!\\\\)([A-Za-z@]+)"), F.lit(1))
 
 
 def environment_bounds(text: Column, seen: Column | None = None) -> Column:
@@ -113,7 +114,7 @@ def missing_braces(line: Column) -> Column:
 
 def braces_balanced(text: Column) -> Column:
     """Whether grouping braces match; escaped ones and comments do not count."""
-    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?<!\\)((?:\\\\)*+)%[^\r\n]*", "$1"), r"(?s)\\.", ""), r"[^{}]+", "")
+    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?=[\\%])(?<!\\)((?:\\\\)*+)%[^\r\n]*", "$1"), r"(?s)\\.", ""), r"[^{}]+", "")
     # pairs go, the inner ones first; what is left after some rounds is walked
     for _ in range(6):
         inner = F.replace(inner, F.lit("{}"), F.lit(""))
@@ -136,25 +137,25 @@ def plain_quotes(text: Column) -> Column:
 
 def spaced_commands(text: Column) -> Column:
     """A space between a command and a Chinese character right behind it."""
-    return F.regexp_replace(text, rf"(?<!\\)\\([A-Za-z@]+)(?=[{CJK}])", r"\\$1 ")
+    return F.regexp_replace(text, rf"\\(?<!\\\\)([A-Za-z@]++)(?=[{CJK}])", r"\\$1 ")
 
 
 def identifiers_unescaped(text: Column) -> Column:
     r"""`\_` in identifiers as `_`: the parts around identifier commands are taken apart, mended and joined again."""
     command = r"\\(?:" + "|".join(IDENTIFIER_COMMANDS) + r")\*?(?:\[[^\[\]{}]*\])*\{[^{}]*\}"
-    found = F.regexp_extract_all(text, F.lit(f"({command})"), F.lit(1))
-    between = F.split(text, command, -1)
-    mended = F.transform(found, lambda x: F.replace(x, F.lit(r"\_"), F.lit("_")))
-    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(mended, i), F.lit("")))), "")
+    # an array of one binds the text, and the parts are zipped: a lambda would find all commands anew for each part
+    parts = lambda t: F.zip_with(F.split(t, command, -1), F.regexp_extract_all(t, F.lit(f"({command})"), F.lit(1)), lambda x, y: F.concat(x, F.coalesce(F.replace(y, F.lit(r"\_"), F.lit("_")), F.lit(""))))
+    return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(r"\_")), F.array_join(parts(t), "")).otherwise(t)), F.lit(0))
 
 
 def protocol_violation(output: Column) -> Column:
     """What shows that an answer is more than the text asked for; null if nothing does."""
     names = "|".join(REQUEST_BLOCKS)
+    named = reduce(Column.__or__, [F.contains(output, F.lit(x)) for x in REQUEST_BLOCKS])
     return (
         F.when(F.startswith(F.regexp_replace(output, r"^(?U)\s+", ""), F.lit("```")), "markdown fence")
-        .when(F.rlike(output, F.lit(rf"</?(?:{names})\s*>|\\(?:begin|end)\{{(?:{names})\}}")), "echoed block name")
-        .when(F.rlike(output, F.lit(r"`|\\'")), "TeX quotation mark")
+        .when(named & F.rlike(output, F.lit(rf"</?(?:{names})\s*>|\\(?:begin|end)\{{(?:{names})\}}")), "echoed block name")
+        .when(F.contains(output, F.lit("`")) | F.contains(output, F.lit(r"\'")), "TeX quotation mark")
     )
 
 

@@ -50,11 +50,11 @@ def validated(rows: DataFrame, source: str = "source", output: str = "output", t
     # a column for each step: an expression that uses another one twice would compute it twice
     rows = rows.withColumn("_s", visible(s)).withColumn("_o", visible(o))
     rows = rows.withColumn("_a", commands(s, F.col("_s"))).withColumn("_b", commands(o, F.col("_o")))
-    rows = rows.withColumn("_same", F.array_sort("_a") == F.array_sort("_b"))
+    rows = rows.withColumn("_same", F.sort_array("_a") == F.sort_array("_b"))
     rows = rows.withColumn("_ka", structural(F.col("_a"))).withColumn("_kb", structural(F.col("_b")))
     # of equal multisets, the usual case, nothing is missing and nothing added
     none = F.slice("_a", 1, 0)
-    rows = rows.withColumn("_kept", F.col("_same") | (F.array_sort("_ka") == F.array_sort("_kb")))
+    rows = rows.withColumn("_kept", F.col("_same") | (F.sort_array("_ka") == F.sort_array("_kb")))
     told = (
         rows.withColumn("missing", F.when(F.col("_kept"), none).otherwise(multiset_difference(F.col("_ka"), F.col("_kb"))))
         .withColumn("added", F.when(F.col("_kept"), none).otherwise(multiset_difference(F.col("_kb"), F.col("_ka"))))

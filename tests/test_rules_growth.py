@@ -5,12 +5,14 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from parchment.functions import text as t
 from parchment.rules import compat as c
 
 N = 12_000
 CASES = [
     (c.unaligned_as_equation, "\\begin{align}x\\end{align}\n", "\\begin{equation}x\\end{equation}\n"),
     (lambda x: c.end_macro_names(x, F.array(F.lit("own"))), "\\own中\n", "\\own{}中\n"),
+    (t.identifiers_unescaped, "a\\_b \\cite{a\\_b}\n", "a\\_b \\cite{a_b}\n"),
 ]
 
 

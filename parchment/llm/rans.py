@@ -43,14 +43,14 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.int64)
-        self._slots: tuple[np.ndarray, ...] | None = None
+        self._slots: np.ndarray | None = None
 
     @property
-    def slots(self) -> tuple[np.ndarray, ...]:
-        """Of each of the 2**PRECISION numbers: its symbol, that symbol's frequency, and the number's place among those of the symbol."""
+    def slots(self) -> np.ndarray:
+        """Of each of the 2**PRECISION numbers, in one integer: its symbol, that symbol's frequency less one, and the number's place among those of the symbol."""
         if self._slots is None:
-            symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
-            self._slots = symbol, self.freq[symbol].astype(np.int32), (np.arange(len(symbol)) - self.start[symbol]).astype(np.int32)
+            symbol = np.repeat(np.arange(len(self.freq)), self.freq)
+            self._slots = symbol << 2 * PRECISION | (self.freq[symbol] - 1) << PRECISION | (np.arange(len(symbol)) - self.start[symbol])
         return self._slots
 
 
@@ -95,14 +95,14 @@ def decode(coded: Coded, table: Table, start: int = 0, stop: int | None = None)
         at, state = next((w, s.copy()) for k, w, s in coded.checkpoints if k == start)
     steps = -(-n // lanes)
     out = np.empty((min(steps, steps if stop is None else stop) - start) * lanes, np.uint32)
-    symbol, freq, place = table.slots
+    slots = table.slots
     words = coded.words.astype(np.int64)
     for k in range(start, min(steps, steps if stop is None else stop)):
         size = min(n, (k + 1) * lanes) - k * lanes
         x = state[:size]
-        r = x & _MASK
-        out[(k - start) * lanes : (k - start) * lanes + size] = symbol.take(r)
-        x = (x >> PRECISION) * freq.take(r) + place.take(r)
+        slot = slots.take(x & _MASK)
+        out[(k - start) * lanes : (k - start) * lanes + size] = slot >> 2 * PRECISION
+        x = (x >> PRECISION) * ((slot >> PRECISION & _MASK) + 1) + (slot & _MASK)
         need = np.flatnonzero(x < LOW)
         x[need] = x[need] << WORD | words[at : at + len(need)]
         at += len(need)

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from .shared import new_path, stored, text_columns
 BLOCK = 1 << 18
 #: Pieces whose ids a worker keeps.
 MEMO = 1 << 20
+#: Texts that are encoded at a time, and how many are too few to look for equal pieces among them.
+ROWS, FEW = 4000, 64
 _CUT = re.compile(rb" (?=[\x21-\x7e\xc3-\xdf\xe4-\xf4])")
 _ODD = re.compile(rb" (?![\x21-\x7e\xc3-\xdf\xe4-\xf4])")
 #: Pieces of letters (ASCII and Latin-1), digits and ASCII marks but the apostrophe; the tokenizer's pattern takes each run of one kind as a match.
@@ -120,16 +123,38 @@ class Encoder(dict):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes of kind."""
-        out = []
-        for t in texts:
+        out, even = [], []
+        for k, t in enumerate(texts):
             if not self.bytewise:
                 out.append(self._plain(t.decode("utf-8", "replace")))
             elif any(x in t for x in self.added):
                 out.append(b"".join([self.added[x] if k % 2 else self._stretch(x) for k, x in enumerate(self.cut.split(t))]))
-            else:
+            elif len(texts) < FEW or _ODD.search(t):
                 out.append(self._stretch(t))
+            else:
+                head, space, rest = t.partition(b" ")
+                out.append(self.head(head))
+                if space:
+                    even.append((k, rest))
+        for (k, _), ids in zip(even, self._rests([rest for _, rest in even]), strict=True):
+            out[k] += ids
         return out
 
+    def _rests(self, rests: list[bytes]) -> Iterator[bytes]:
+        """The ids of texts behind a space, cut at each of their spaces. Arrow cuts, tells equal pieces and puts the ids in place; each distinct piece is asked for once."""
+        if not rests:
+            return
+        pieces = pc.split_pattern(pa.array(rests, pa.binary()), b" ")
+        ends = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        _, starts, held = coded.dictionary.buffers()
+        held, starts = held.to_pybytes(), np.frombuffer(starts, np.int32).tolist()
+        ids = [self[held[a:b]] for a, b in zip(starts[: len(coded.dictionary)], starts[1:], strict=False)]
+        at = np.concatenate([[0], np.cumsum(np.array([len(x) for x in ids], np.int64)[coded.indices.to_numpy()])])[ends].tolist()
+        data = pa.array(ids, pa.large_binary()).take(coded.indices).buffers()[2]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield data[a:b].to_pybytes()
+
     def _stretch(self, t: bytes) -> bytes:
         """The ids of a text, or of what stands between added tokens in it."""
         pieces = _CUT.split(t) if _ODD.search(t) else t.split(b" ")
@@ -152,8 +177,8 @@ def _ids(path: str, end: int, special: bool):
         code = encoder(path, special)
         width, last = bytes([code.kind.itemsize]), np.array([end], code.kind).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                docs, tie, texts = text_columns(batch.slice(k, 1000), "doc_id", "tie", "text")
+            for k in range(0, batch.num_rows, ROWS):
+                docs, tie, texts = text_columns(batch.slice(k, ROWS), "doc_id", "tie", "text")
                 ids = code.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.cast(pa.binary())])
                 yield pa.RecordBatch.from_arrays([docs, tie, pa.array([width + x + last for x in ids], pa.binary())], names=["doc_id", "tie", "ids"])
 

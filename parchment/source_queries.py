@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .catalog import table
 from .sources import archives, files, manifest
-from .storage import new_path
+from .storage import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,7 +118,8 @@ def tree_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(n % 4 == 0, "main.tex").when(n % 4 == 1, F.concat(F.lit("parts/"), number, F.lit(".TEX"))).when(n % 4 == 2, F.concat(F.lit("a b+"), number, F.lit(".sty"))).otherwise(F.concat(F.lit("fig"), number, F.lit(".png")))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.floor(n / 10).cast("string"), F.lit("/"), path).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     # of main files of one paper, one
-    docs = docs.groupBy("name").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("of")).select("of.doc_id", "name", "of.text")
+    # stored, as four jobs read them, each of which would group all texts anew
+    docs = stored(docs.groupBy("name").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("of")).select("of.doc_id", "name", "of.text"), "files")
     changed, deleted = n % 7 == 1, (n % 7 != 1) & (n % 11 == 2)
     added = ~changed & ~deleted & (n % 5 == 3)
     root, store = f"{at}/papers", f"{at}/store"

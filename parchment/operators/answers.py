@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CACHE
-from ..storage import forget, latest, publish, published, stored
+from ..storage import forget, latest, new_path, publish, published, shuffles_gone, written
 
 #: Tables from which a put merges them.
 TABLES = 8
@@ -86,11 +86,14 @@ class Answers:
 
     def _write(self, rows: DataFrame) -> Table:
         """rows: CACHE, a row for each key. Writes them and their filter, which nothing reads until they are published."""
-        name, rows = uuid.uuid4().hex, stored(rows, "answers")
+        name, scratch = uuid.uuid4().hex, new_path(self.spark, "answers")
+        rows = written(rows, scratch)
         n = rows.count()
         digits = self.digits or digits_for(n)
         dealt = rows.select("key", "output", "warning", "model", bucket(F.col("key"), digits).alias("bucket"))
-        dealt.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{self.at}/tables/{name}")
+        with shuffles_gone(self.spark):
+            dealt.repartition("bucket").sortWithinPartitions("bucket", "key").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.at}/tables/{name}")
+        forget(self.spark, scratch)
         keys = self.spark.read.schema("key string, bucket string").parquet(f"{self.at}/tables/{name}")
         blocks = max(1, -(-n // (KEYS_PER_BLOCK * 16**digits)))
         key = F.col("key")
@@ -100,7 +103,7 @@ class Answers:
 
     def put(self, rows: DataFrame) -> None:
         """rows: CACHE. Of a key that occurs twice one answer stays. Merges the tables when there are more than TABLES."""
-        fresh = self._write(rows.groupBy("key").agg(*(F.min_by(c, F.struct("output", "warning", "model")).alias(c) for c in ("output", "warning", "model"))))
+        fresh = self._write(rows.groupBy("key").agg(F.min(F.struct("output", "warning", "model")).alias("least")).select("key", "least.*"))
         if fresh.n:
             self._publish([*self.tables(), fresh])
         if len(self.tables()) > TABLES:
@@ -140,9 +143,10 @@ class Answers:
                 forget(self.spark, f"{self.at}/tables/{name}")
                 forget(self.spark, f"{self.at}/filters/{name}")
 
-    def look_up(self, keys: DataFrame) -> DataFrame:
-        """keys: key. CACHE of those that have an answer."""
-        keys = stored(keys.select("key").dropna().distinct(), "keys")
+    def look_up(self, keys: DataFrame, scratch: str | None = None) -> DataFrame:
+        """keys: key. CACHE of those that have an answer. scratch: a folder that what is returned is read from, None for a new one."""
+        scratch = scratch or new_path(self.spark, "looked-up")
+        keys = written(keys.select("key").dropna().distinct(), f"{scratch}/keys")
         parts = []
         for k, table in enumerate(self.tables()):
             key = F.col("key")
@@ -150,8 +154,9 @@ class Answers:
             hit = F.lit(True)
             for w in range(WORDS):
                 hit = hit & (F.col(f"w{w}").bitwiseAND(_bit(key, w)) != 0)
-            maybe = stored(probe.join(self._filters(table), ["bucket", "block"]).filter(hit).select("key", "bucket"), "maybe")
+            maybe = written(probe.join(self._filters(table), ["bucket", "block"]).filter(hit).select("key", "bucket"), f"{scratch}/maybe-{k}")
             buckets = [r["bucket"] for r in maybe.select("bucket").distinct().collect()]  # as many as there are buckets, at most
             if buckets:
-                parts.append((k, self._rows(table, buckets).join(maybe, ["key", "bucket"], "left_semi")))
+                parts.append((k, self._rows(table, buckets).join(maybe.select("key"), "key", "left_semi")))
+        forget(self.spark, f"{scratch}/keys")
         return self._latest(parts) if parts else self.spark.createDataFrame([], CACHE)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -35,10 +37,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
-    """stored(), and what aggregates of its rows were as they were written: no pass of their own."""
-    seen = Observation(name)
-    out = stored(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), name)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_gone(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile leaves no shuffle files: they go as each execution ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, at: str) -> DataFrame:
+    """df written to a folder and read again, for tables of whole texts that go again soon: packed more tightly than stored() does, and without shuffle files left."""
+    with shuffles_gone(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def observed(df: DataFrame, at: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """written(), and what aggregates of its rows were as they were written: no pass of their own."""
+    seen = Observation(at.rsplit("/", 1)[-1])
+    out = written(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), at)
     return out, seen.get
 
 

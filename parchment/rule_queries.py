@@ -23,7 +23,7 @@ from .operators.answers import Answers
 from .plans import guide, translate
 from .rules import compat, document
 from .sources import archives
-from .storage import new_path
+from .storage import forget, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -448,7 +448,9 @@ def translation_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English papers through the whole translation, then all of them with the same cache: texts, and how many cached answers were asked for twice."""
     papers = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "lang", F.lit("main.tex").alias("path"), _prose("text").alias("text")).dropna()
     cache, translator = new_path(spark, "answers"), translate.DictionaryTranslator((("the", "此"),))
-    translate.translate_papers(papers.filter("lang = 'en'").select("paper_id", "path", "text"), None, translator, cache, wait=False)
+    first = new_path(spark, "papers")
+    translate.translate_papers(papers.filter("lang = 'en'").select("paper_id", "path", "text"), None, translator, cache, wait=False, scratch=first)
+    forget(spark, first)
     known = Answers(spark, cache).all().select("key")
     done, _ = translate.translate_papers(papers.select("paper_id", "path", "text"), None, translator, cache, wait=False)
     again = Answers(spark, cache).puts().groupBy("key").agg(F.count("*").alias("n")).join(known, "key").agg(F.sum("n") - F.count("*")).first()[0]  # one number

@@ -9,9 +9,11 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from parchment.plans import translate
+from parchment.rule_queries import translation_resumed
 from parchment.storage import new_path, shared_dir, stored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+DATA = "/root/testdata/sf0.001"
 
 
 def _held(spark):
@@ -65,6 +67,12 @@ def test_papers_keep_all_files_and_little_disk(spark):
     assert [r["message"] for r in messages.filter("message like 'translation failed%'").collect()] == ["translation failed on main.tex#0: braces"]
 
 
+def test_a_resumed_run_takes_disk_in_proportion(spark):
+    before = _held(spark)
+    assert translation_resumed(spark, DATA).agg(F.max("n_asked_again")).first()[0] == 0
+    assert _held(spark) - before < 4 * Path(DATA, "documents.parquet").stat().st_size
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     files = lambda: {f.getName() for f in spark._jvm.scala.jdk.CollectionConverters.SeqHasAsJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()).asJava() if f.getName().startswith("shuffle_")}
     before = files()

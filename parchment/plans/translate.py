@@ -276,7 +276,7 @@ def translate_papers(files: DataFrame, guides: DataFrame | None, translator, cac
     progress("translated", seen["ok"], seen["n"])
     translated = reassemble(results.filter("paper_id is not null"), kept)
     others = kept.filter("stays").select("paper_id", "path", restore_udf(F.col("text"), F.col("blocks")).alias("text"))
-    styles = files.filter(~F.coalesce(suffix(F.col("path")).isin(*DOCUMENT_SUFFIXES), F.lit(False))).select("paper_id", "path", "text")
+    styles = written(files.filter(~F.coalesce(suffix(F.col("path")).isin(*DOCUMENT_SUFFIXES), F.lit(False))).select("paper_id", "path", "text"), f"{at}/styles")
     place = F.concat(F.lit(" on "), "path", F.lit("#"), F.col("idx").cast("string"))
     kind = F.when(F.col("status") == "ok", F.col("warning")).otherwise(F.concat(F.lit("translation failed"), place, F.lit(": "), F.coalesce("warning", F.lit("no answer"))))
     messages = results.filter("warning is not null or status is null or status <> 'ok'").select("paper_id", F.xxhash64("path", "idx").alias("pos"), kind.alias("message"))
